@@ -20,7 +20,7 @@ MANIFEST_FIELDS = ("item_key", "etag", "status", "updated_at")
 
 def bare_etag(etag: Column) -> Column:
     """An ETag without surrounding double quotes; NULL where it is absent or empty."""
-    return F.nullif(F.trim(F.lit('"'), etag), F.lit(""))
+    return F.nullif(F.trim(etag, F.lit('"')), F.lit(""))
 
 
 def current_listing(listing: DataFrame, key: str = "key", etag: str = "etag", at: str = "listed_at") -> DataFrame:
