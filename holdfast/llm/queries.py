@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdfast.llm import boilerplate, markup, neardup, ocr, pii
+from holdfast.llm import boilerplate, markup, mixing, neardup, ocr, packing, pii
+from holdfast.llm import quality as text_quality
 from holdfast.storage import table
 
 
@@ -15,6 +16,23 @@ def _records(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "document_records")
 
 
+def _capacity(spark: SparkSession, d: str, profile: str) -> int:
+    row = table(spark, d, "pack_profiles").where(F.col("profile") == profile).select("capacity_tokens").first()
+    if row is None:
+        raise ValueError(f"no profile {profile}")
+    return row[0]
+
+
+def _fill(spark: SparkSession, d: str) -> DataFrame:
+    """The fill of all profiles, one row each."""
+    out = None
+    for r in table(spark, d, "pack_profiles").where("capacity_tokens > 0").orderBy("capacity_tokens").limit(100).collect():
+        packed = packing.pack(table(spark, d, "documents"), r["capacity_tokens"])
+        one = packing.fill_report(packed, r["capacity_tokens"]).select(F.lit(r["profile"]).alias("profile"), "*")
+        out = one if out is None else out.union(one)
+    return out
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": lambda s, d: markup.marked_up(_records(s, d), table(s, d, "common_words")),
@@ -27,6 +45,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p5_found": lambda s, d: neardup.near_duplicate_pairs(_records(s, d)),
         "p5_groups": lambda s, d: neardup.NearDuplicates(_records(s, d)).groups(),
         "p6_found": lambda s, d: pii.personal_data(_records(s, d), table(s, d, "name_lexicon")),
+        "p8_packed": lambda s, d: packing.pack(table(s, d, "documents"), _capacity(s, d, "standard")),
+        "p8_fill": _fill,
+        "p9_plan": lambda s, d: mixing.Mix(table(s, d, "documents"), table(s, d, "mix_targets")).plan(),
+        "p9_shares": lambda s, d: mixing.Mix(table(s, d, "documents"), table(s, d, "mix_targets")).report(),
+        "p9_temperature": lambda s, d: mixing.temperature_weights(table(s, d, "documents"), table(s, d, "mix_targets")),
+        "p10_found": lambda s, d: text_quality.not_prose(table(s, d, "documents"), table(s, d, "common_words")),
+        "p10_statistics": lambda s, d: text_quality.quality(table(s, d, "documents"), table(s, d, "common_words")),
         "p6_sanitized": lambda s, d: pii.sanitize(_records(s, d), table(s, d, "name_lexicon")).select("record_id", F.size("found").alias("replaced"), "clean_text"),
     }
 
