@@ -25,5 +25,5 @@ def one_per_key(df: DataFrame, key: str, newest: str, max_broadcast_rows: int =
     once = df.join(repeated, F.col(key) == F.col("_k"), "left_anti")
     rest = df.join(repeated, F.col(key) == F.col("_k"), "left_semi")
     whole = F.struct(*[F.col(c) for c in df.columns])
-    best = rest.groupBy(key).agg(F.max_by(whole, F.col(newest)).alias("_r")).select("_r.*")
+    best = rest.groupBy(key).agg(F.max_by(whole, F.struct(newest)).alias("_r")).select("_r.*")
     return once.unionByName(best)
