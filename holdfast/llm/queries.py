@@ -52,7 +52,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p9_temperature": lambda s, d: mixing.temperature_weights(table(s, d, "documents"), table(s, d, "mix_targets")),
         "p10_found": lambda s, d: text_quality.not_prose(table(s, d, "documents"), table(s, d, "common_words")),
         "p10_statistics": lambda s, d: text_quality.quality(table(s, d, "documents"), table(s, d, "common_words")),
-        "p6_sanitized": lambda s, d: pii.sanitize(_records(s, d), table(s, d, "name_lexicon")).select("record_id", F.size("found").alias("replaced"), "clean_text"),
+        "p6_sanitized": lambda s, d: pii.generalized(_records(s, d), table(s, d, "name_lexicon")),
     }
 
 
