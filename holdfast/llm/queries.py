@@ -56,24 +56,32 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+_LINES = r"""
+    WITH r AS (
+        SELECT id, arg_max(source_site, capture_date) AS site, arg_max(body_text, capture_date) AS body
+        FROM document_records WHERE id IS NOT NULL GROUP BY id
+    ), l AS (
+        SELECT id, site, generate_subscripts(string_split(body, chr(10)), 1) AS line_no, unnest(string_split(body, chr(10))) AS line
+        FROM r WHERE site IS NOT NULL AND length(body) > 0
+    ), m AS (
+        SELECT id, site, line_no, line AS raw,
+               trim(regexp_replace(regexp_replace(regexp_replace(lower(line), '[0-9]', '', 'g'), '[\t\r\f]', ' ', 'g'), ' +', ' ', 'g'), ' ') AS line
+        FROM l
+    ), s AS (SELECT site, count(*) AS records FROM r WHERE site IS NOT NULL GROUP BY site),
+    h AS (
+        SELECT m.site, m.line FROM m JOIN s USING (site) WHERE regexp_matches(m.line, '\p{L}')
+        GROUP BY m.site, m.line HAVING count(DISTINCT id) >= 8 AND count(DISTINCT id) >= 0.10 * any_value(s.records)
+    )
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
-        "p4_found": r"""
-            WITH r AS (
-                SELECT id, arg_max(source_site, capture_date) AS site, arg_max(body_text, capture_date) AS body
-                FROM document_records WHERE id IS NOT NULL GROUP BY id
-            ), l AS (
-                SELECT id, site, generate_subscripts(string_split(body, chr(10)), 1) AS line_no, unnest(string_split(body, chr(10))) AS line
-                FROM r WHERE site IS NOT NULL AND length(body) > 0
-            ), m AS (
-                SELECT id, site, line_no,
-                       trim(regexp_replace(regexp_replace(regexp_replace(lower(line), '[0-9]', '', 'g'), '[\t\r\f]', ' ', 'g'), ' +', ' ', 'g'), ' ') AS line
-                FROM l
-            ), s AS (SELECT site, count(*) AS records FROM r WHERE site IS NOT NULL GROUP BY site),
-            h AS (
-                SELECT m.site, m.line FROM m JOIN s USING (site) WHERE regexp_matches(m.line, '\p{L}')
-                GROUP BY m.site, m.line HAVING count(DISTINCT id) >= 8 AND count(DISTINCT id) >= 0.10 * any_value(s.records)
-            )
-            SELECT m.id AS record_id, CAST(m.line_no AS INTEGER) AS line_no FROM m JOIN h USING (site, line)
-        """,
+        "p4_found": _LINES + " SELECT m.id AS record_id, CAST(m.line_no AS INTEGER) AS line_no FROM m JOIN h USING (site, line)",
+        "p4_clean": _LINES
+        + """, c AS (
+            SELECT m.id, coalesce(string_agg(m.raw, chr(10) ORDER BY m.line_no) FILTER (h.line IS NULL), '') AS clean_text, CAST(count(h.line) AS INTEGER) AS removed
+            FROM m LEFT JOIN h USING (site, line) GROUP BY m.id
+        )
+        SELECT r.id AS record_id, r.site AS source_site, coalesce(c.clean_text, r.body) AS clean_text, coalesce(c.removed, 0) AS removed FROM r LEFT JOIN c USING (id)""",
     }
