@@ -6,17 +6,20 @@ computed from the key, alike on both sides: pages, characters and failures by di
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from holdfast.functions import html as H
 from holdfast.functions import scalars as S
 from holdfast.operators import inventory as I
 from holdfast.operators import ledger as L
 from holdfast.operators import records as R
 from holdfast.operators import sampling as P
-from holdfast.storage import table
+from holdfast.storage import shared_dir, table
+from holdfast.streaming import ledger as SL
 
 SEED = 20260907
 EXCLUDED_PREFIX = "ftpArchive/"
@@ -68,6 +71,13 @@ def _ledger(s: SparkSession, d: str) -> DataFrame:
     return L.state(table(s, d, "ingested"))
 
 
+def _streamed(s: SparkSession, d: str) -> DataFrame:
+    """The ledger folded by a stream of the log's files, drained, and read back."""
+    base = f"{shared_dir(s)}/holdfast/stream-{uuid.uuid4().hex}"
+    SL.maintain(SL.event_stream(s, f"{d}/ingested.parquet*"), f"{base}/state", f"{base}/checkpoint").awaitTermination()
+    return SL.current(s, f"{base}/state")
+
+
 def _top(dim: str, k: int) -> Callable[[SparkSession, str], DataFrame]:
     return lambda s, d: I.top_k(I.value_counts(_objects(s, d), dim), k, [F.desc("objects"), F.col(dim)])
 
@@ -113,6 +123,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "record_json_lines": lambda s, d: R.to_json_lines(R.derived(R.unique_records(table(s, d, "document_records")))),
         "file_hashes": lambda s, d: table(s, d, "documents").select("doc_id", F.sha2(F.encode("text", "UTF-8"), 256).alias("file_sha256")),
         "ledger_state": _ledger,
+        "stream_ledger": _streamed,
+        "html_text": lambda s, d: R.unique_records(table(s, d, "document_records")).where("content_type = 'html'").select("id", H.html_to_text(F.col("body_text")).alias("text")),
         "ledger_counts": lambda s, d: L.status_counts(_ledger(s, d)),
         "ledger_failures": lambda s, d: L.failures(_ledger(s, d)),
         "ledger_seen_text": lambda s, d: L.seen_texts(_ledger(s, d)),
@@ -203,6 +215,16 @@ _LEDGER = """
 """
 
 
+def _html(t: str) -> str:
+    quote = lambda x: x.replace("'", "''")
+    t = f"regexp_replace({t}, '{H.DROPPED}', '', 'g')"
+    t = f"regexp_replace(regexp_replace({t}, '{H.BREAKS}', chr(10), 'g'), '{H.TAGS}', '', 'g')"
+    for name, sign in H.REFERENCES:
+        t = f"replace({t}, '{quote(name)}', '{quote(sign)}')"
+    t = f"regexp_replace(regexp_replace({t}, '[ \\t\\r\\f]+', ' ', 'g'), ' ?\\n ?', chr(10), 'g')"
+    return f"trim(regexp_replace(regexp_replace({t}, '\\n{{3,}}', chr(10) || chr(10), 'g'), '\\A\\n+|\\n+\\z', '', 'g'), ' ')"
+
+
 def _counts(dim: str, tail: str = "") -> str:
     return f"WITH {_OBJECTS} SELECT {dim}, count(*) AS objects, CAST(sum(size) AS BIGINT) AS bytes FROM d WHERE {dim} IS NOT NULL GROUP BY {dim} {tail}"
 
@@ -270,6 +292,8 @@ def oracle_sql() -> dict[str, str]:
         "dangling_duplicates": f"WITH {_RECORDS} SELECT a.id, a.duplicate_of FROM r a ANTI JOIN r b ON a.duplicate_of = b.id AND a.text_sha256 = b.text_sha256 WHERE a.duplicate_of IS NOT NULL",
         "file_hashes": "SELECT doc_id, sha256(text) AS file_sha256 FROM documents",
         "ledger_state": f"WITH {_LEDGER} SELECT * FROM l",
+        "stream_ledger": f"WITH {_LEDGER} SELECT * FROM l",
+        "html_text": f"WITH {_RECORDS} SELECT id, {_html('body_text')} AS text FROM r WHERE content_type = 'html'",
         "ledger_counts": f"WITH {_LEDGER} SELECT status, count(*) AS keys FROM l GROUP BY status",
         "ledger_failures": f"WITH {_LEDGER} SELECT s3_key, attempts, error FROM l WHERE status = 'failed' ORDER BY attempts DESC, CAST(updated_at AS TIMESTAMPTZ) DESC, s3_key LIMIT 100",
         "ledger_seen_text": f"WITH {_LEDGER} SELECT text_sha256, arg_min(record_id, (CAST(updated_at AS TIMESTAMPTZ), s3_key)) AS record_id, count(*) AS keys FROM l WHERE status = 'done' AND text_sha256 IS NOT NULL GROUP BY 1",

@@ -62,3 +62,15 @@ def test_dangling(spark):
     df = spark.createDataFrame([("a", None, "x"), ("b", "a", "x"), ("c", "a", "y"), ("d", "zz", "x")], "id string, duplicate_of string, text_sha256 string")
     assert rows(R.dangling_duplicates(df)) == [("c", "a"), ("d", "zz")]
     assert df.select(F.count("*")).first()[0] == 4
+
+
+def test_html_text(spark):
+    from holdfast.functions.html import html_to_text
+
+    cases = {
+        "<h1>A</h1><p>x <b>y</b>&amp;z&nbsp;q</p><script>no()</script><!-- c --><ul><li>one<li>two</ul>": "A\n\nx y&z q\n\none\ntwo",
+        "a < b and c > d": "a < b and c > d",
+        "": "",
+    }
+    df = spark.createDataFrame([(i, k) for i, k in enumerate([*cases, None])], "i int, h string")
+    assert [r[1] for r in df.select("i", html_to_text(F.col("h"))).orderBy("i").collect()] == [*cases.values(), None]
