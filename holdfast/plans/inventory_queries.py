@@ -267,6 +267,10 @@ def oracle_sql() -> dict[str, str]:
         "etag_dupes_corpus": f"WITH {_OBJECTS}, {groups} SELECT count(*) AS identical_groups, count(*) FILTER (buckets > 1) AS cross_bucket_groups, CAST(coalesce(sum(copies - 1), 0) AS BIGINT) AS redundant_objects FROM g",
         "etag_top_groups": f"WITH {_OBJECTS}, {groups}, t AS (SELECT * FROM g ORDER BY copies DESC, etag LIMIT 25), k AS (SELECT etag, bucket || '::' || key AS k FROM d JOIN t USING (etag) WHERE NOT noise AND size > 0 QUALIFY row_number() OVER (PARTITION BY etag ORDER BY bucket, key) <= 6) SELECT t.etag, t.copies, t.buckets, string_agg(k, chr(10) ORDER BY k) AS keys FROM t JOIN k USING (etag) GROUP BY ALL",
         "stride_sample": f"WITH {_OBJECTS}, s AS (SELECT bucket, key, row_number() OVER (ORDER BY bucket, key) - 1 AS pos, greatest(1, count(*) OVER () // 50) AS step FROM o) SELECT pos, bucket, key FROM s WHERE pos % step = 0 AND pos < step * 50",
+        "human_bytes_by_bucket": f"""WITH {_OBJECTS}, b AS (SELECT bucket, CAST(sum(size) AS BIGINT) AS bytes FROM d GROUP BY bucket)
+            SELECT bucket, bytes, CASE WHEN abs(bytes) < 1024 THEN format('{{:,}} B', bytes) WHEN abs(bytes) < 1024 ** 2 THEN format('{{:,.1f}} KB', bytes / 1024.0::DOUBLE)
+                WHEN abs(bytes) < 1024 ** 3 THEN format('{{:,.1f}} MB', bytes / 1048576.0::DOUBLE) WHEN abs(bytes) < 1024 ** 4 THEN format('{{:,.1f}} GB', bytes / 1073741824.0::DOUBLE)
+                ELSE format('{{:,.1f}} TB', bytes / 1099511627776.0::DOUBLE) END AS shown FROM b""",
         "ingestable_pdfs": f"WITH {_POPULATION} SELECT * FROM pop",
         "consent_excluded": f"WITH {_OBJECTS} SELECT bucket, key FROM o WHERE lower(key) LIKE '%.eml'",
         "strata_population": f"WITH {_POPULATION} SELECT stratum, population FROM nh",
