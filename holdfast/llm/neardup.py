@@ -14,6 +14,7 @@ from __future__ import annotations
 from bisect import bisect_left
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -160,40 +161,75 @@ def banded_alignment(x: np.ndarray, y: np.ndarray, band: int = 200) -> float:
     return len(tails) / n
 
 
-def candidate_pairs(nodes: DataFrame, large: int = 64, max_broadcast_rows: int = 200_000) -> DataFrame:
-    """``(a, b)``, a < b: texts that agree in at least two sketches, or in one of few.
+def candidate_pairs(nodes: DataFrame, threshold: float, large: int = 64, max_broadcast_rows: int = 200_000) -> DataFrame:
+    """``(a, b)``, a < b: texts that agree in at least two sketches, or in one of few, or in one of many texts.
 
-    ``nodes`` is a written table of ``(node, sketch)``. Most buckets hold two texts and give their pair
+    ``nodes`` is a written table of ``(node, sketch, bottom)``. Most buckets hold two texts and give their pair
     in the aggregation itself. Buckets of up to ``large`` texts give their pairs. A larger one holds texts that
-    are alike in masses; it is cut into parts by hash, each text is linked to its part's least one and these to
-    the bucket's, and texts that agree in this and their next sketch, too, give their pairs. No bucket comes into one task.
+    are alike in masses; it is cut into parts by hash, and every two parts meet in a block of their own, so that all its
+    pairs are compared by their least hashes, and no bucket comes into one task.
     """
-    each = nodes.select("node", F.size("sketch").alias("m"), F.explode("sketch").alias("s"))
+    each = nodes.select("node", F.explode("sketch").alias("s"))
     buckets = written(each.groupBy("s").agg(F.count("*").alias("n"), F.min("node").alias("x"), F.max("node").alias("y")).where("n > 1"), "buckets")
-    more = buckets.where("n > 2").select("s", "n", "x")
-    two = buckets.where("n = 2").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    if small_enough(more, 0):
-        pairs = two
-    else:
+    more = buckets.where(f"n > 2 AND n <= {large}").select("s")
+    pairs = buckets.where("n = 2").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    if not small_enough(more, 0):
         more = F.broadcast(more) if small_enough(more, max_broadcast_rows) else more
-        nxt = nodes.select("node", F.explode(F.arrays_zip(F.col("sketch").alias("s"), F.concat(F.slice("sketch", 2, 1_000_000), F.slice("sketch", 1, 1)).alias("t"))).alias("p"))
-        rows = written(nxt.select("node", "p.s", "p.t").join(more, "s"), "members")
-        few = rows.where(F.col("n") <= large).select("s", "node")
-        many = rows.where(F.col("n") > large)
-        sub = many.join(many.groupBy("s", "t").agg(F.count("*").alias("k")).where((F.col("k") > 1) & (F.col("k") <= large)), ["s", "t"]).select(F.xxhash64("s", "t").alias("s"), "node")
-        # parts of a large bucket by the node's own hash: a text meets the same ones in bucket after bucket
-        parts = F.pmod(F.xxhash64("node"), F.pow(F.lit(2.0), F.ceil(F.log2(F.col("n") / large))).cast("bigint"))
-        parted = many.select("s", "node", "x", parts.alias("g"))
-        least = parted.groupBy("s", "g").agg(F.min("node").alias("l"), F.min("x").alias("x"))
-        star = parted.join(least.select("s", "g", "l"), ["s", "g"]).where("node > l").select(F.col("l").alias("a"), F.col("node").alias("b"))
-        hub = least.where("l > x").select(F.col("x").alias("a"), F.col("l").alias("b"))
-        inner = few.union(sub)
-        both = inner.alias("u").join(inner.alias("w"), (F.col("u.s") == F.col("w.s")) & (F.col("u.node") < F.col("w.node")))
-        pairs = two.union(both.select(F.col("u.node").alias("a"), F.col("w.node").alias("b")))
-        hot = star.union(hub).distinct()
-        pairs = pairs.union(hot).union(hot)  # a link of a hot bucket counts as two
+        few = written(each.join(more, "s").select("s", "node"), "members")
+        both = few.alias("u").join(few.alias("w"), (F.col("u.s") == F.col("w.s")) & (F.col("u.node") < F.col("w.node")))
+        pairs = pairs.union(both.select(F.col("u.node").alias("a"), F.col("w.node").alias("b")))
     counted = pairs.groupBy("a", "b").agg(F.count("*").alias("common"))
-    return counted.where("common > 1").select("a", "b").union(_of_few(counted, nodes, max_broadcast_rows))
+    found = counted.where("common > 1").select("a", "b").union(_of_few(counted, nodes, max_broadcast_rows))
+    crowded = buckets.where(f"n > {large}").select("s", "n")
+    if small_enough(crowded, 0):
+        return found
+    crowded = F.broadcast(crowded) if small_enough(crowded, max_broadcast_rows) else crowded
+    many = nodes.select("node", "bottom", F.explode("sketch").alias("s")).join(crowded, "s")
+    parts = F.pow(F.lit(2.0), F.ceil(F.log2(F.col("n") / large))).cast("bigint")
+    met = many.withColumn("g", F.pmod(F.xxhash64("node"), parts)).select("s", "g", "node", "bottom", F.explode(F.sequence(F.lit(0), parts - 1)).alias("h"))
+    blocks = met.select("s", F.least("g", "h").alias("i"), F.greatest("g", "h").alias("j"), "g", "node", "bottom")
+    return found.union(_of_blocks(blocks.repartition("s", "i", "j").sortWithinPartitions("s", "i", "j"), threshold)).distinct()
+
+
+def _of_blocks(blocks: DataFrame, threshold: float) -> DataFrame:
+    """Pairs between the parts ``i`` and ``j`` of a bucket that :func:`_perhaps` might keep: at least as many least
+    hashes are common as it asks for. Rows of a block come one after another; a block is some hundred texts at most."""
+    bound = _bound(threshold)
+
+    def alike(g: list, node: list, bottom: list) -> tuple[np.ndarray, np.ndarray]:
+        g, node = np.array(g), np.array(node, np.int64)
+        hashes = [np.frombuffer(x, np.uint32) for x in bottom]
+        size = np.array([len(x) for x in hashes])
+        _, at, n = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+        shared = n > 1
+        seen = np.zeros((len(node), int(shared.sum())), np.float32)
+        keep = shared[at]
+        seen[np.repeat(np.arange(len(node)), size)[keep], (np.cumsum(shared) - 1)[at][keep]] = 1
+        one, two = np.flatnonzero(g == g.min()), np.flatnonzero(g == g.max())
+        x, y = np.nonzero(seen[one] @ seen[two].T >= bound * np.maximum(size[one][:, None], size[two][None, :]))
+        a, b = node[one[x]], node[two[y]]
+        # within one part each pair comes in both orders
+        once = a < b if len(one) == len(node) else a != b
+        return np.minimum(a, b)[once], np.maximum(a, b)[once]
+
+    def run(batches):
+        key, g, node, bottom = None, [], [], []
+        for batch in batches:
+            out = []
+            for s, i, j, part, n, low in zip(*[c.to_pylist() for c in batch.columns]):
+                if (s, i, j) != key:
+                    if len(node) > 1 and (key[1] == key[2] or len(set(g)) > 1):
+                        out.append(alike(g, node, bottom))
+                    key, g, node, bottom = (s, i, j), [], [], []
+                g.append(part)
+                node.append(n)
+                bottom.append(low)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["a", "b"])
+        if len(node) > 1 and (key[1] == key[2] or len(set(g)) > 1):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in alike(g, node, bottom)], names=["a", "b"])
+
+    return blocks.mapInArrow(run, "a bigint, b bigint")
 
 
 def _of_few(counted: DataFrame, nodes: DataFrame, max_broadcast_rows: int) -> DataFrame:
@@ -221,7 +257,7 @@ class NearDuplicates:
         marked = sketched.join(repeated, "text_class", "left").withColumn("representative", F.coalesce("representative", "id")).withColumn("copies", F.coalesce("copies", F.lit(1)))
         self.members = marked.select("id", "text_class", "representative", "copies")
         reps = marked.where("id = representative")
-        pairs = candidate_pairs(reps.select("node", "sketch"))
+        pairs = candidate_pairs(reps.select("node", "sketch", "bottom"), threshold)
         ids = reps.select("node", "id", "bottom")
         one = pairs.join(ids.select(F.col("node").alias("a"), F.col("id").alias("id_a"), F.col("bottom").alias("ba")), "a")
         named = one.join(ids.select(F.col("node").alias("b"), F.col("id").alias("id_b"), F.col("bottom").alias("bb")), "b").where("id_a <> id_b")
@@ -255,15 +291,21 @@ class NearDuplicates:
         return every.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).distinct()
 
 
+def _bound(threshold: float) -> float:
+    """Four standard errors below ``threshold``, for an estimate from the least hashes."""
+    return threshold - 4 * (threshold * (1 - threshold) / BOTTOM) ** 0.5
+
+
 def _perhaps(pairs: DataFrame, threshold: float) -> DataFrame:
     """Pairs whose least hashes don't rule out ``threshold``: the estimate is within four standard errors of it."""
+    bound = _bound(threshold)
 
     def run(ids_a, ids_b, bottoms_a, bottoms_b):
         for a, b, x, y in zip(ids_a, ids_b, bottoms_a, bottoms_b):
             x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
             least = np.union1d(x, y)[: max(len(x), len(y))]
             both = np.intersect1d(np.intersect1d(x, y, assume_unique=True), least, assume_unique=True)
-            if len(both) >= (threshold - 4 * (threshold * (1 - threshold) / BOTTOM) ** 0.5) * len(least):
+            if len(both) >= bound * len(least):
                 yield a, b
 
     return map_columns(pairs, run, "id_a string, id_b string")

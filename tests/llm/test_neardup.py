@@ -67,6 +67,20 @@ def test_masses_of_copies_and_of_variants(spark):
     assert {("c000", f"c{i:03d}") for i in range(1, 150)} <= pairs and {("c000", f"v{i:03d}") for i in range(100)} <= pairs
 
 
+def test_pairs_of_a_large_family(spark):
+    r = random.Random(7)
+    body = [f"w{r.randrange(500)}" for _ in range(120)]
+    data = []
+    for i in range(300):
+        other = list(body)
+        for at in r.sample(range(120), 3):
+            other[at] = f"x{r.randrange(500)}"
+        data.append((f"v{i:03d}", " ".join(other), "2020", 1))
+    want = brute(data, 3, 0.5, 50)
+    got = {tuple(x) for x in rows(D.near_duplicate_pairs(spark.createDataFrame(data, SCHEMA)))}
+    assert got <= set(want) and len(got) >= 0.99 * len(want) and len(want) > 40_000
+
+
 def test_alignment():
     a = np.arange(100, dtype=np.uint64)
     assert D.banded_alignment(a, a) == 1.0
