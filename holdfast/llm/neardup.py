@@ -119,25 +119,28 @@ def order_min_hash(h: np.ndarray, most: int = 64, least: int = 4) -> np.ndarray:
 
 
 def sketches(texts: DataFrame, k: int, min_words: int, most: int = 64, least: int = 4) -> DataFrame:
-    """``(id, text_class, node, sketch, bottom)`` of texts of at least ``min_words`` words, from ``(id, text)``.
+    """``(id, text_class, node, sketch, bottom, compared)`` of all texts, from ``(id, text)``. NULL counts as empty.
 
     ``text_class`` is a 128-bit hash of the words in hexadecimal digits, ``node`` 64 bits of it, ``bottom`` the
-    :data:`BOTTOM` least hashes of the distinct k-mers.
+    :data:`BOTTOM` least hashes of the distinct k-mers. Texts of fewer than ``min_words`` words aren't ``compared``
+    and have no sketch: they are only alike where their words are the same.
     """
 
     def run(ids, bodies):
         known = _WordHash()
         for i, t in zip(ids, bodies):
             w = (t or "").lower().split()
+            name = xxhash.xxh3_128_hexdigest(" ".join(w))
+            node = int(np.uint64(int(name[:16], 16)).view(np.int64))
             if len(w) < max(min_words, k):
+                yield i, name, node, [], b"", False
                 continue
             words = np.fromiter((known[x] for x in w), np.uint64, len(w))
-            name = xxhash.xxh3_128_hexdigest(" ".join(w))
             sketch = np.unique(order_min_hash(occurrence_labelled(kmers(words, k)), most, least)).view(np.int64)
             least_of_all = np.unique(_mix(np.unique(kmers(words, k))) >> np.uint64(32))[:BOTTOM].astype(np.uint32)
-            yield i, name, int(np.uint64(int(name[:16], 16)).view(np.int64)), sketch.tolist(), least_of_all.tobytes()
+            yield i, name, node, sketch.tolist(), least_of_all.tobytes(), True
 
-    return map_columns(texts, run, "id string, text_class string, node bigint, sketch array<bigint>, bottom binary")
+    return map_columns(texts, run, "id string, text_class string, node bigint, sketch array<bigint>, bottom binary, compared boolean")
 
 
 def banded_alignment(x: np.ndarray, y: np.ndarray, band: int = 200) -> float:
@@ -242,21 +245,21 @@ def _of_few(counted: DataFrame, nodes: DataFrame, max_broadcast_rows: int) -> Da
 class NearDuplicates:
     """Near-duplicates among records, as written tables.
 
-    ``members`` is ``(id, text_class, node, representative)`` of each record with at least ``min_words``
-    words, ``pairs`` is ``(id_a, id_b, similarity, edit_similarity)`` between representatives. Rows without an id and
-    NULL texts are left out; of rows with the same id one counts.
+    ``members`` is ``(id, text_class, representative, copies, compared)`` of each record, ``pairs`` is
+    ``(id_a, id_b, similarity, edit_similarity)`` between representatives of at least ``min_words`` words. Rows without
+    an id are left out; of rows with the same id one counts. NULL texts count as empty; all without a word are copies.
     """
 
     def __init__(self, records: DataFrame, k: int = 5, threshold: float = 0.8, min_words: int = 5, id_col: str = "id", text_col: str = "body_text", newest: str = "capture_date", max_broadcast_rows: int = 200_000):
         rows = one_per_key(records.select(id_col, text_col, newest), id_col, newest)
-        texts = rows.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
+        texts = rows.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
         sketched = written(sketches(texts, k, min_words), "sketches")
         classes = sketched.groupBy("text_class").agg(F.min("id").alias("representative"), F.count("*").alias("copies"))
         repeated = written(classes.where("copies > 1"), "copies")
         repeated = F.broadcast(repeated) if small_enough(repeated, max_broadcast_rows) else repeated
         marked = sketched.join(repeated, "text_class", "left").withColumn("representative", F.coalesce("representative", "id")).withColumn("copies", F.coalesce("copies", F.lit(1)))
-        self.members = marked.select("id", "text_class", "representative", "copies")
-        reps = marked.where("id = representative")
+        self.members = marked.select("id", "text_class", "representative", "copies", "compared")
+        reps = marked.where("id = representative AND compared")
         pairs = candidate_pairs(reps.select("node", "sketch", "bottom"), threshold)
         ids = reps.select("node", "id", "bottom")
         one = pairs.join(ids.select(F.col("node").alias("a"), F.col("id").alias("id_a"), F.col("bottom").alias("ba")), "a")
@@ -280,10 +283,10 @@ class NearDuplicates:
         return m.select(F.col("id").alias("record_id"), F.coalesce("component", "representative").alias("group_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
 
     def all_pairs(self, max_copies: int = 64) -> DataFrame:
-        """``(id_a, id_b)``, id_a < id_b, between records. Of a text with more than ``max_copies`` copies the
+        """``(id_a, id_b)``, id_a < id_b, between records of at least ``min_words`` words. Of a text with more than ``max_copies`` copies the
         representative stands for all in pairs with other texts, and each copy is paired with it."""
-        some = self.members.where(f"copies > 1 AND copies <= {max_copies}").select("representative", "id")
-        mass = self.members.where(f"copies > {max_copies} AND id <> representative").select(F.col("representative").alias("id_a"), F.col("id").alias("id_b"))
+        some = self.members.where(f"compared AND copies > 1 AND copies <= {max_copies}").select("representative", "id")
+        mass = self.members.where(f"compared AND copies > {max_copies} AND id <> representative").select(F.col("representative").alias("id_a"), F.col("id").alias("id_b"))
         within = some.alias("u").join(some.alias("w"), (F.col("u.representative") == F.col("w.representative")) & (F.col("u.id") < F.col("w.id"))).select(F.col("u.id").alias("id_a"), F.col("w.id").alias("id_b"))
         a = self.pairs.join(some.select(F.col("representative").alias("ra"), F.col("id").alias("a")), F.col("id_a") == F.col("ra"), "left").select(F.coalesce("a", "id_a").alias("id_a"), "id_b")
         b = a.join(some.select(F.col("representative").alias("rb"), F.col("id").alias("b")), F.col("id_b") == F.col("rb"), "left").select("id_a", F.coalesce("b", "id_b").alias("id_b"))

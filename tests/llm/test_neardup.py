@@ -53,6 +53,13 @@ def test_groups(spark):
     assert g["d0000y"][0] == "d0000" and g["d0001"] == ("d0001", 0)
 
 
+def test_groups_of_short_and_empty_texts(spark):
+    data = [("a", "cover sheet", "2020", 1), ("b", "Cover  sheet", "2020", 1), ("c", "cover page", "2020", 1), ("d", "", "2020", 1), ("e", None, "2020", 1), (None, "cover sheet", "2020", 1)]
+    dup = D.NearDuplicates(spark.createDataFrame(data, SCHEMA))
+    assert rows(dup.groups()) == [("a", "a", 0), ("b", "a", 0), ("c", "c", 0), ("d", "d", 0), ("e", "d", 0)]
+    assert rows(dup.all_pairs()) == []
+
+
 def test_masses_of_copies_and_of_variants(spark):
     r = random.Random(5)
     body = [f"w{r.randrange(500)}" for _ in range(120)]
