@@ -46,7 +46,8 @@ _OTHER_NUMBER = re.compile(r"\b(?:sheets?|plates?|maps?|contracts?|invoices?|per
 _ID_CUE = re.compile(r"\b(?:ssn|social\s+security|tax\s?payer|tax\s+(?:id|no|number|identification)|tin|itin|passports?|licen[cs]e|driver'?s|steuer\S*|sozialversicherung\S*|reisepass\S*|führerschein\S*|passeport|permis|sécurité\s+sociale|pasaporte|nif|nie|dni|seguridad\s+social)\b[^.\n!?]{0,34}?(?:\b(?:no|nr|núm)\.\s*)?(?:\n\s*)?$", re.I)
 # Markup that may stand between a number and the word before it.
 _OPENING = re.compile(r"(?:[*_\"“'\[({ \t]|&\w+;|<[^<>]*>|\[\[[^\]|]*\||\\\w+\{)+$")
-_ID_STEMS = ("ssn", "social s", "taxp", "tax i", "tax n", " tin ", "itin ", "passport", "licence", "license", "driver", "steuer", "sozialv", "reisepass", "führerschein", "passeport", "permis", "sécurité s", "pasaporte", "nif ", "nie ", "dni ", "seguridad s")
+# One of these stands in every text that holds a cue; nothing is asked of what follows or precedes it.
+_ID_STEMS = ("ssn", "social", "tax", "tin", "passport", "licence", "license", "driver", "steuer", "sozialv", "reisepass", "führerschein", "passeport", "permis", "sécurité", "pasaporte", "nif", "nie", "dni", "seguridad")
 _ID = re.compile(r"(?<![\w+(.-])(?:[A-Z]{1,2}-?)?\d(?:[ .-]?\d){5,16}[A-Z]?(?![\w-])|(?<!\w)[A-Z]\d{3}-\d{3}-\d{2,3}(?!\w)")
 _SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")
 
@@ -57,16 +58,18 @@ _STREET_ES = "Avenida|Calle|Camino|Plaza|Paseo|Carretera|Travesía|Ronda|C/|Avda
 _STREET_DE = "straße|strasse|str\\.|weg|gasse|allee|platz|ring|damm|ufer|steig|pfad"
 _CAP = r"[A-ZÄÖÜÉÈ][\w'’-]*"
 _GAP = r"(?:[ \t ]+|[ \t]*\n[ \t]*)"
+# The signs that _GAP can begin with.
+_GAP_STARTS = tuple(c for c in map(chr, range(0x3100)) if re.fullmatch(_GAP, c))
 _UNIT = rf"(?:(?:,{_GAP}?|{_GAP})(?:(?:Apt|Apartment|Suite|Ste|Unit|Room|Rm|Fl|Floor)\.?{_GAP}#?\d+[A-Za-z]?\b|#{_GAP}?\d+[A-Za-z]?\b))?"
-_NUMBER_NAME = re.compile(r"\d[A-Za-z]?[ \t ][A-Z](?!pril|ugust)")
-# Each form of address with what a text must hold for it to be looked for.
+_NUMBER_NAME = re.compile(r"\d[A-Za-z]?[ \t ]+[A-ZÄÖÜÉÈ]")
+# Each form of address with what a text must hold for it to be looked for: one of these stands wherever the form matches.
 _ADDRESSES = tuple(
     (gate, re.compile(form))
     for gate, form in (
-        ([f" {x}{y}" for x in _STREET.split("|") for y in " .,\n<"], rf"(?<![\w.,/#-])\d{{1,5}}[A-Za-z]?[ \t ]+(?:(?:N|S|E|W|NE|NW|SE|SW|North|South|East|West)\.?{_GAP})?(?:{_CAP}{_GAP}){{1,4}}?(?:(?:St|Ave)\b\.?|(?:{_STREET})\b(?:\.(?=,|[ \t](?:[a-z]|Apt|Suite|Ste|Unit|#)))?){_UNIT}"),
-        ([f"{x} " for x in "rue avenue chemin boulevard allée impasse quai sentier".split()] + [f"{x} d" for x in "place route cours passage".split()], rf"(?<![\w-])\d{{1,4}}(?:[ \t]?(?:bis|ter|[A-D]))?,?{_GAP}(?:{_STREET_FR}){_GAP}(?:(?:de{_GAP}la|de|du|des|d['’]|la|le|les){_GAP}?)?{_CAP}(?:[ -]{_CAP})?"),
+        (_STREET.split("|"), rf"(?<![\w.,/#-])\d{{1,5}}[A-Za-z]?[ \t ]+(?:(?:N|S|E|W|NE|NW|SE|SW|North|South|East|West)\.?{_GAP})?(?:{_CAP}{_GAP}){{1,4}}?(?:(?:St|Ave)\b\.?|(?:{_STREET})\b(?:\.(?=,|[ \t](?:[a-z]|Apt|Suite|Ste|Unit|#)))?){_UNIT}"),
+        (_STREET_FR.split("|"), rf"(?<![\w-])\d{{1,4}}(?:[ \t]?(?:bis|ter|[A-D]))?,?{_GAP}(?:{_STREET_FR}){_GAP}(?:(?:de{_GAP}la|de|du|des|d['’]|la|le|les){_GAP}?)?{_CAP}(?:[ -]{_CAP})?"),
         (["Avenida", "Calle", "Camino", "Plaza", "Paseo", "Carretera", "Travesía", "Ronda", "C/", "Avda"], rf"(?<!\w)(?:{_STREET_ES}){_GAP}(?:(?:de{_GAP}la|de|del|las?|los|el){_GAP})?{_CAP}(?:{_GAP}{_CAP})?,?{_GAP}(?:n[.º°]*{_GAP}?)?\d{{1,4}}\b(?:,?{_GAP}\d+[ºª°]?(?:{_GAP}?[A-D]\b)?)?"),
-        (["straße ", "strasse ", "str. ", "weg ", "gasse ", "allee ", "platz ", "ring ", "damm ", "ufer ", "steig ", "pfad "], rf"(?<!\w){_CAP}(?:{_STREET_DE}){_GAP}\d{{1,4}}(?:[ \t]?[a-h])?\b"),
+        ([f"{x}{y}" for x in _STREET_DE.replace("\\", "").split("|") for y in _GAP_STARTS], rf"(?<!\w){_CAP}(?:{_STREET_DE}){_GAP}\d{{1,4}}(?:[ \t]?[a-h])?\b"),
         (["Allee", "Straße", "Strasse", "Str.", "Weg", "Gasse", "Platz", "Ring", "Damm", "Ufer"], rf"(?<!\w)(?:{_CAP}(?:er|en)?{_GAP})(?:Allee|Straße|Strasse|Str\.|Weg|Gasse|Platz|Ring|Damm|Ufer){_GAP}\d{{1,4}}(?:[ \t]?[a-h])?\b"),
         (["Box", "Postfach", "Apartado", "Boîte", "BP", "B.P"], rf"(?<!\w)(?:P\.?[ \t]?O\.?{_GAP}Box|Post{_GAP}Office{_GAP}Box|Postfach|Apartado(?:{_GAP}de{_GAP}Correos)?|Boîte{_GAP}postale|B\.?P\.?){_GAP}\d{{1,7}}\b"),
     )

@@ -24,6 +24,16 @@ def test_found(text, want):
     assert [(k, text[a:b]) for a, b, k in spans] == want
 
 
+@pytest.mark.parametrize(
+    "text,kind,want",
+    [(f"at {a}{end}", "address", a) for a in ("7120 N. Frost Rd", "7964 SW Kelscroft Court") for end in ("", "\r\n", ")", ";", ":", "\t")]
+    + [("at 12 Old Mill\nRoad", "address", "12 Old Mill\nRoad"), ("at 12  Mill Road", "address", "12  Mill Road"), ("at 12 August Road", "address", "12 August Road"), ("at 12, rue\nVellburn", "address", "12, rue\nVellburn"), ("in Briarsteadweg\n79", "address", "Briarsteadweg\n79")]
+    + [(f"{cue}934-31-6917", "id_number", "934-31-6917") for cue in ("TIN: ", "DNI: ", "NIF:", "NIE\t", "social\nsecurity ", "tax payer ", "tax\tid ")],
+)
+def test_found_whatever_stands_around(text, kind, want):
+    assert (kind, want) in [(k, text[a:b]) for a, b, k in find_personal(text, NAMES)]
+
+
 def test_replacement():
     t = "Ada Quill, ada@x.example, 541-555-0154."
     assert replace_personal(t, find_personal(t, NAMES)) == "[PERSON], [EMAIL], [PHONE]."
