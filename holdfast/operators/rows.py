@@ -1,4 +1,4 @@
-"""One row per key where few keys repeat."""
+"""One row per key where few keys repeat, and joins on keys of which a few are hot."""
 
 from __future__ import annotations
 
@@ -27,3 +27,22 @@ def one_per_key(df: DataFrame, key: str, newest: str, max_broadcast_rows: int =
     whole = F.struct(*[F.col(c) for c in df.columns])
     best = rest.groupBy(key).agg(F.max_by(whole, F.struct(newest)).alias("_r")).select("_r.*")
     return once.unionByName(best)
+
+
+def join_counted(big: DataFrame, small: DataFrame, key: str, count: str, how: str = "inner", max_broadcast_rows: int = 200_000, hot: int = 20_000) -> DataFrame:
+    """``big`` joined (``inner`` or ``left``) to ``small``, a written table with one row for each ``key`` and the number of rows of ``big``
+    that have it in ``count``.
+
+    A small table is broadcast. Beyond ``max_broadcast_rows`` its keys of more than ``hot`` rows are, of which there
+    are no more than rows of ``big`` / ``hot``, and the others, none of them hot, join by exchange. Where even the
+    hot keys are too many to broadcast ``hot`` is raised by tens until they are few.
+    """
+    if small_enough(small, max_broadcast_rows):
+        return big.join(F.broadcast(small), key, how)
+    crowded = small.where(F.col(count) > hot)
+    while not small_enough(crowded, max_broadcast_rows):
+        hot *= 10
+        crowded = small.where(F.col(count) > hot)
+    return big.join(F.broadcast(crowded), key).unionByName(
+        big.join(F.broadcast(crowded.select(key)), key, "left_anti").join(small.where(F.col(count) <= hot), key, how)
+    )
