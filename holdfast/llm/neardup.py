@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from holdfast.llm.batches import map_columns
 from holdfast.operators.components import connected_components
-from holdfast.operators.rows import one_per_key
+from holdfast.operators.rows import join_counted, one_per_key
 from holdfast.storage import small_enough, written
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -35,7 +35,7 @@ class _WordHash(dict):
     """32-bit hashes of words, forgotten when there are too many."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 400_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = h = xxhash.xxh32_intdigest(word)
         return h
@@ -174,7 +174,7 @@ def candidate_pairs(nodes: DataFrame, threshold: float, large: int = 64, max_bro
     """
     each = nodes.select("node", F.explode("sketch").alias("s"))
     buckets = written(each.groupBy("s").agg(F.count("*").alias("n"), F.min("node").alias("x"), F.max("node").alias("y")).where("n > 1"), "buckets")
-    more = buckets.where(f"n > 2 AND n <= {large}").select("s")
+    more = buckets.where(f"n > 2 AND n <= {large}").select("s")  # no bucket of these is hot
     pairs = buckets.where("n = 2").select(F.col("x").alias("a"), F.col("y").alias("b"))
     if not small_enough(more, 0):
         more = F.broadcast(more) if small_enough(more, max_broadcast_rows) else more
@@ -186,8 +186,7 @@ def candidate_pairs(nodes: DataFrame, threshold: float, large: int = 64, max_bro
     crowded = buckets.where(f"n > {large}").select("s", "n")
     if small_enough(crowded, 0):
         return found
-    crowded = F.broadcast(crowded) if small_enough(crowded, max_broadcast_rows) else crowded
-    many = nodes.select("node", "bottom", F.explode("sketch").alias("s")).join(crowded, "s")
+    many = join_counted(nodes.select("node", "bottom", F.explode("sketch").alias("s")), crowded, "s", "n", max_broadcast_rows=max_broadcast_rows)
     parts = F.pow(F.lit(2.0), F.ceil(F.log2(F.col("n") / large))).cast("bigint")
     met = many.withColumn("g", F.pmod(F.xxhash64("node"), parts)).select("s", "g", "node", "bottom", F.explode(F.sequence(F.lit(0), parts - 1)).alias("h"))
     blocks = met.select("s", F.least("g", "h").alias("i"), F.greatest("g", "h").alias("j"), "g", "node", "bottom")
@@ -250,17 +249,19 @@ class NearDuplicates:
     an id are left out; of rows with the same id one counts. NULL texts count as empty; all without a word are copies.
     """
 
-    def __init__(self, records: DataFrame, k: int = 5, threshold: float = 0.8, min_words: int = 5, id_col: str = "id", text_col: str = "body_text", newest: str = "capture_date", max_broadcast_rows: int = 200_000):
+    def __init__(self, records: DataFrame, k: int = 5, threshold: float = 0.8, min_words: int = 5, id_col: str = "id", text_col: str = "body_text", newest: str = "capture_date", max_broadcast_rows: int = 200_000, large: int = 64):
         rows = one_per_key(records.select(id_col, text_col, newest), id_col, newest)
         texts = rows.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
         sketched = written(sketches(texts, k, min_words), "sketches")
         classes = sketched.groupBy("text_class").agg(F.min("id").alias("representative"), F.count("*").alias("copies"))
         repeated = written(classes.where("copies > 1"), "copies")
-        repeated = F.broadcast(repeated) if small_enough(repeated, max_broadcast_rows) else repeated
-        marked = sketched.join(repeated, "text_class", "left").withColumn("representative", F.coalesce("representative", "id")).withColumn("copies", F.coalesce("copies", F.lit(1)))
-        self.members = marked.select("id", "text_class", "representative", "copies", "compared")
-        reps = marked.where("id = representative AND compared")
-        pairs = candidate_pairs(reps.select("node", "sketch", "bottom"), threshold)
+        # narrow rows alone go through the join by class, of which one may be hot; sketches meet only ids
+        narrow = join_counted(sketched.select("id", "text_class", "compared"), repeated, "text_class", "copies", "left", max_broadcast_rows)
+        self.members = narrow.select("id", "text_class", F.coalesce("representative", "id").alias("representative"), F.coalesce("copies", F.lit(1)).alias("copies"), "compared")
+        copies = written(narrow.where("id <> representative").select("id"), "copies")
+        copies = F.broadcast(copies) if small_enough(copies, max_broadcast_rows) else copies
+        reps = sketched.where("compared").join(copies, "id", "left_anti")
+        pairs = candidate_pairs(reps.select("node", "sketch", "bottom"), threshold, large, max_broadcast_rows)
         ids = reps.select("node", "id", "bottom")
         one = pairs.join(ids.select(F.col("node").alias("a"), F.col("id").alias("id_a"), F.col("bottom").alias("ba")), "a")
         named = one.join(ids.select(F.col("node").alias("b"), F.col("id").alias("id_b"), F.col("bottom").alias("bb")), "b").where("id_a <> id_b")
