@@ -9,16 +9,16 @@ beside those of the given, incomplete lexicon, and are replaced with them.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import ahocorasick
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from holdfast.llm.batches import map_columns
+from holdfast.operators.rows import join_counted
 from holdfast.storage import small_enough, written
 
 KINDS = ("email", "phone", "id_number", "address", "person")
@@ -92,7 +92,8 @@ _TOKEN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _CAPITAL = re.compile(r"[A-ZÀ-ÖØ-Þ][^\W\d_]+(?:[-'’][^\W\d_]+)*")
 _NEXT = re.compile(r"(?:[ \t ]+|[ \t]*\n[ \t]*)([^\W\d_]+(?:['’-][^\W\d_]+)*)")
 _BEFORE = re.compile(r"([^\W\d_]+(?:['’-][^\W\d_]+)*)(?:[ \t ]+|[ \t]*\n[ \t]*)$")
-_MONTH_AFTER = re.compile(r"(?:[ \t ]+|[ \t]*\n[ \t]*)\d|(?:[ \t ]+|[ \t]*\n[ \t]*)(?:memo|of)\b")
+# Words that aren't looked at as neighbours of names.
+_NO_NAMES = _PLACE_AFTER | _TITLES | frozenset(re.sub(r"[\\.?]", "", f"{_STREET}|{_STREET_FR}|{_STREET_ES}|{_STREET_DE}|po|box|postfach|apartado").lower().split("|"))
 
 
 class Names:
@@ -124,77 +125,137 @@ class Names:
         return sorted((a, b, r) for a, (b, r) in found.items())
 
 
-def name_evidence(records: DataFrame, text_col: str = "body_text") -> DataFrame:
-    """``(term, other, n)``: how often each capitalised term stands in the corpus (``other`` NULL), and how
-    often right before another one, or after it and a comma, as given and family name may stand. Pairs in which a
-    place word follows aren't counted. Terms are lower-cased.
+def corpus_evidence(records: DataFrame, text_col: str = "body_text") -> DataFrame:
+    """``(kind, term, other, n)``: in how many texts each ``word`` stands in any case, each ``pair`` of capitalised ones right
+    before each other, or after each other and a comma, as given and family name may stand, and each cue, the word before
+    it, of a number in the form of a phone's: ``sure`` where it begins with a plus or a bracket, else ``plain``. Pairs with
+    words of places, streets or titles, and those that such a word or a number follows, aren't counted. Terms are lower-cased.
     """
 
     def run(texts):
-        total, pairs = Counter(), Counter()
+        total, pairs, cues = Counter(), Counter(), Counter()
         for t in texts:
+            beside = set()
+            cues.update({(_cue(t, m.start()), m[0][0] in "+(") for m in _phones(t)})
             last, end = "", -9
             for m in _CAPITAL.finditer(t):
-                w, x = m[0], m.start()
-                total[w] += 1
+                x = m.start()
                 if x - end < 6 and (gap := t[end:x])[-1:] == " " and _NAME_GAP.fullmatch(gap):
-                    a, b = last.lower(), w.lower()
+                    a, b = last.lower(), m[0].lower()
                     after = _AFTER.match(t, m.end())
-                    if b not in _PLACE_AFTER and a not in _TITLES and not (after and (after[1].lower() in _PLACE_AFTER or after[1][0].isdigit())):
-                        pairs[(b, a) if gap[0] == "," else (a, b)] += 1
-                last, end = w, m.end()
-        folded: Counter = Counter()
-        for w, n in total.items():
-            folded[w.lower()] += n
-        yield from ((w, None, n) for w, n in folded.items())
-        yield from ((a, b, n) for (a, b), n in pairs.items())
+                    if not {a, b} & _NO_NAMES and not (after and (after[1].lower() in _NO_NAMES or after[1][0].isdigit())):
+                        beside.add((b, a) if gap[0] == "," else (a, b))
+                last, end = m[0], m.end()
+            pairs.update(beside)
+            total.update(set(_TOKEN.findall(t.lower())))
+        yield from (("word", w, None, n) for w, n in total.items())
+        yield from (("pair", a, b, n) for (a, b), n in pairs.items())
+        yield from (("sure" if sure else "plain", w, None, n) for (w, sure), n in cues.items() if w)
 
     texts = records.select(F.col(text_col).alias("t")).where("length(t) > 0")
-    return map_columns(texts, run, "term string, other string, n bigint").groupBy("term", "other").agg(F.sum("n").alias("n"))
+    return map_columns(texts, run, "kind string, term string, other string, n bigint").groupBy("kind", "term", "other").agg(F.sum("n").alias("n"))
 
 
-def disclosure(evidence: DataFrame, known: dict[str, int]) -> DataFrame:
-    """``(term, given, family, n, bits)``: how often a term stands as given name before a known family name and as
-    family name after a known given name, and the pointwise mutual information of the term and a name beside it.
+def _phones(text: str) -> Iterator[re.Match]:
+    """Numbers in the form of a phone's."""
+    return (p for c in _DIGITS.finditer(text) for p in _PHONE.finditer(text, max(0, c.start() - 3), min(len(text), c.end() + 2)))
+
+
+def _head(text: str, at: int) -> str:
+    """What stands before a place, markup that opens there aside."""
+    return _OPENING.sub(" ", text[max(0, at - 60) : at])
+
+
+def _cue(text: str, at: int) -> str:
+    """The lower-cased word before a number, or an empty string."""
+    m = _CUE.search(_head(text, at))
+    return m[1].lower() if m else ""
+
+
+_CUE = re.compile(r"([^\W\d_]{2,})[.:#]?[ \t]*(?:\n\s*)?$")
+
+
+def misleading_cues(evidence: DataFrame, least: float = 0.25, most: int = 1_000_000) -> frozenset[str]:
+    """Words before which numbers in the form of a phone's disclose none: the upper bound of the share that is surely a
+    phone's is less than ``least`` times that of all cues. There are few; more than ``most`` raise."""
+    cues = evidence.where("kind IN ('sure', 'plain')").groupBy("term").agg(F.coalesce(F.sum(F.when(F.col("kind") == "sure", F.col("n"))), F.lit(0)).alias("sure"), F.sum("n").alias("n"))
+    every = cues.agg((F.sum("sure") / F.sum("n")).alias("share"))  # one row
+    rows = cues.join(F.broadcast(every)).where(_bounds(F.col("sure"), F.col("n"))[1] < least * F.col("share")).select("term").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} misleading cues")
+    return frozenset(r["term"] for r in rows)
+
+
+def _bounds(part: Column, whole: Column, z: float = 1.28) -> tuple[Column, Column]:
+    """Wilson's bounds of a share, each exceeded in one case of ten."""
+    p = F.least(part / whole, F.lit(1.0))
+    mid, half = p + z * z / (2 * whole), z * F.sqrt(p * (1 - p) / whole + z * z / (4 * whole * whole))
+    return (mid - half) / (1 + z * z / whole), (mid + half) / (1 + z * z / whole)
+
+
+def disclosure(evidence: DataFrame, names: DataFrame, small: bool = True) -> DataFrame:
+    """``(term, given, family, n, low, high, bits)``: how often a term stands as given name before a known family name and as
+    family name after a known given name, bounds of the greater one's share of all the term's texts, and the pointwise mutual
+    information, at the lower bound, of the term and a name beside it.
+
+    ``names`` is a written table ``(name, role)``; it is broadcast where it is ``small``.
     """
-    spark = evidence.sparkSession
-    names = spark.createDataFrame([(w, r) for w, r in known.items()], "name string, role int")
-    pairs = evidence.where("other IS NOT NULL")
-    # the names are bounded by the lexicon and max_terms
-    given = pairs.join(F.broadcast(names.where("role & 2 > 0")), F.col("other") == F.col("name")).groupBy("term").agg(F.sum("n").alias("given"))
-    family = pairs.join(F.broadcast(names.where("role & 1 > 0")), F.col("term") == F.col("name")).groupBy(F.col("other").alias("term")).agg(F.sum("n").alias("family"))
+    beside = lambda role: (F.broadcast if small else lambda x: x)(names.where(f"role & {role} > 0").select("name"))
+    pairs = evidence.where("kind = 'pair'")
+    given = pairs.join(beside(2), F.col("other") == F.col("name")).groupBy("term").agg(F.sum("n").alias("given"))
+    family = pairs.join(beside(1), F.col("term") == F.col("name")).groupBy(F.col("other").alias("term")).agg(F.sum("n").alias("family"))
     named = given.join(family, "term", "full").na.fill(0, ["given", "family"])
-    every = evidence.where("other IS NULL").select("term", "n")
+    every = evidence.where("kind = 'word'").select("term", "n")
     total = every.agg(F.sum("n").alias("all"))
-    beside = named.agg(F.sum(F.col("given") + F.col("family")).alias("beside"))
-    # total and beside are one row each
-    x = named.join(every, "term").join(F.broadcast(total)).join(F.broadcast(beside))
-    bits = F.log2((F.col("given") + F.col("family")) / F.col("n") / (F.col("beside") / F.col("all")))
-    return x.select("term", "given", "family", "n", F.round(bits, 6).alias("bits"), "beside")
+    contexts = named.agg(F.sum(F.col("given") + F.col("family")).alias("beside"))
+    # one row each
+    x = named.join(every, "term").join(F.broadcast(total)).join(F.broadcast(contexts))
+    low, high = _bounds(F.greatest("given", "family"), F.col("n"))
+    return x.select("term", "given", "family", "n", low.alias("low"), high.alias("high"), F.round(F.log2(low / (F.col("beside") / F.col("all"))), 6).alias("bits"))
 
 
-def learned_names(records: DataFrame, lexicon: DataFrame, text_col: str = "body_text", least_share: float = 0.25, least_bits: float = 3.0, least: int = 3, max_terms: int = 200_000, rounds: int = 2) -> Names:
-    """The lexicon's names with the corpus's terms that disclose a name beside them.
+def learned_names(evidence: DataFrame, lexicon: DataFrame, least_share: float = 0.15, least_bits: float = 1.0, least: int = 2, weak_share: float = 0.1, max_broadcast_rows: int = 200_000, max_rounds: int = 20) -> DataFrame:
+    """``(name, role, n)`` of the corpus's terms that disclose a name beside them and of how many texts they stand in; a written
+    table, without the lexicon's names. ``evidence`` is a written table of :func:`corpus_evidence`.
 
-    A term is taken when a known name stands beside at least ``least_share`` of its occurrences and it tells
-    of one by ``least_bits`` or more; what a round learns is known to the next. A term must make up one in
-    ``max_terms`` of the name contexts, so what is sent to the workers is bounded by that whatever the
-    corpus. The lexicon is a given small table.
+    A term is taken when names stand beside it in at least ``least`` texts, the lower bound of their share of its texts is
+    ``least_share`` or more, and it tells of a name by ``least_bits`` or more; bounds and bits mean the same in a corpus of any
+    size. Names that stand beside others in less than ``weak_share`` of their texts (the upper bound), being mostly ordinary
+    words or parts of places, are no evidence. What a round learns is known to the next, until nothing is added.
     """
+    spark = evidence.sparkSession
+    known = lexicon_names(lexicon)
+    start = written(spark.createDataFrame(list(known.items()), "name string, role int"), "names")
+    told = start.join(disclosure(evidence, start).select(F.col("term").alias("name"), "high"), "name", "left")
+    told = told.join(evidence.where("kind = 'word'").select(F.col("term").alias("name"), "n"), "name", "left")
+    sound = F.coalesce("high", _bounds(F.lit(0), F.col("n"))[1], F.lit(1.0)) >= weak_share
+    names = written(told.where(sound).select("name", "role"), "names")
+    start = F.broadcast(start.select(F.col("name").alias("term")))  # the given lexicon
+    learned = None
+    for _ in range(max_rounds):
+        rows = disclosure(evidence, names, small_enough(names, max_broadcast_rows)).where((F.greatest("given", "family") >= least) & (F.col("low") >= least_share) & (F.col("bits") >= least_bits))
+        role = F.when(F.col("given") >= F.col("family"), 1).otherwise(0) + F.when(F.col("family") >= F.col("given"), 2).otherwise(0)
+        new = rows.join(start, "term", "left_anti").select(F.col("term").alias("name"), role.cast("int").alias("role"), "n")
+        if learned is not None:
+            new = new.join(learned.select("name"), "name", "left_anti")
+        new = written(new, "learned")
+        if small_enough(new, 0):
+            return new if learned is None else learned
+        learned = new if learned is None else written(learned.unionByName(new), "learned")
+        names = written(names.unionByName(new.drop("n")), "names")
+    return learned
+
+
+def lexicon_names(lexicon: DataFrame, most: int = 1_000_000) -> dict[str, int]:
+    """The roles of a lexicon's lower-cased names; a lexicon of more than ``most`` rows, no longer a small given table, raises."""
+    rows = lexicon.where("name IS NOT NULL").select(F.lower("name").alias("name"), "name_kind").distinct()
+    got = rows.limit(most + 1).collect()
+    if len(got) > most:
+        raise ValueError(f"a lexicon of more than {most} names")
     known: dict[str, int] = {}
-    for r in lexicon.where("name IS NOT NULL").select("name", "name_kind").distinct().limit(100_000).collect():
-        known[r["name"].lower()] = known.get(r["name"].lower(), 0) | (1 if r["name_kind"] == "given" else 2)
-    evidence = written(name_evidence(records, text_col), "names")
-    for _ in range(rounds):
-        rows = disclosure(evidence, known).where(
-            (F.col("given") + F.col("family") >= F.greatest(F.lit(least), F.ceil(2 * F.col("beside") / max_terms)))
-            & (F.greatest("given", "family") >= least_share * F.col("n"))
-            & (F.col("bits") >= least_bits)
-        )
-        for r in rows.collect():
-            if r["term"] not in known and r["term"] not in _TITLES and r["term"] not in _PLACE_AFTER:
-                known[r["term"]] = (1 if r["given"] >= r["family"] else 0) | (2 if r["family"] >= r["given"] else 0)
-    return Names(known, _ORDINARY)
+    for r in got:
+        known[r["name"]] = known.get(r["name"], 0) | (1 if r["name_kind"] == "given" else 2)
+    return known
 
 
 # Names that are also ordinary words.
@@ -210,9 +271,6 @@ def find_persons(text: str, names: Names) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     done = -1
 
-    def cased(a: int, b: int) -> bool:
-        return text[a].isupper()
-
     for a, b, role in hits:
         if a < done:
             continue
@@ -301,8 +359,11 @@ def find_persons(text: str, names: Names) -> list[tuple[int, int]]:
     return out
 
 
-def find_personal(text: str | None, names: Names) -> list[tuple[int, int, str]]:
-    """``(start, end, kind)`` of personal data, not overlapping, in text order. NULL and empty texts have none."""
+def find_personal(text: str | None, names: Names, misleading: frozenset[str] = frozenset()) -> list[tuple[int, int, str]]:
+    """``(start, end, kind)`` of personal data, not overlapping, in text order. NULL and empty texts have none.
+
+    ``misleading`` are cues before which the corpus has no phone numbers, beside those that are always known.
+    """
     if not text:
         return []
     spans: list[tuple[int, int, str]] = []
@@ -319,11 +380,11 @@ def find_personal(text: str | None, names: Names) -> list[tuple[int, int, str]]:
     if " dot " in low:
         spans += [(m.start(), m.end(), "email") for m in _EMAIL_WORDS.finditer(text)]
     for m in _ID.finditer(text) if any(x in low for x in _ID_STEMS) else ():
-        head = _OPENING.sub(" ", text[max(0, m.start() - 60) : m.start()])
+        head = _head(text, m.start())
         if _ID_CUE.search(head) and not _OTHER_NUMBER.search(head.split("icen")[-1] if "icen" in head else head):
             spans.append((m.start(), m.end(), "id_number"))
-    for m in (p for c in _DIGITS.finditer(text) for p in _PHONE.finditer(text, max(0, c.start() - 3), min(len(text), c.end() + 2))):
-        if not _OTHER_NUMBER.search(_OPENING.sub(" ", text[max(0, m.start() - 60) : m.start()])):
+    for m in _phones(text):
+        if m[0][0] in "+(" or not _OTHER_NUMBER.search(_head(text, m.start())) and _cue(text, m.start()) not in misleading:
             spans.append((m.start(), m.end(), "phone"))
     for form in {x for _, x in _GATES.iter(text)}:
         if form or _NUMBER_NAME.search(text):
@@ -348,41 +409,58 @@ def replace_personal(text: str, spans: Iterable[tuple[int, int, str]]) -> str:
     return "".join(parts) + text[pos:]
 
 
-def sanitize(records: DataFrame, lexicon: DataFrame, id_col: str = "id", text_col: str = "body_text", names: Names | None = None) -> DataFrame:
+def sanitize(records: DataFrame, lexicon: DataFrame, id_col: str = "id", text_col: str = "body_text", max_broadcast_rows: int = 200_000) -> DataFrame:
     """``(record_id, found, clean_text)`` for each row with an id; ``found`` is an array of (kind, found).
 
-    NULL texts come out as empty ones. Columns other than id and text are ignored.
+    NULL texts come out as empty ones. Columns other than id and text are ignored. Of more than
+    ``max_broadcast_rows`` learned names each record gets those it holds by a join, with the same result.
     """
-    if names is None:
-        names = learned_names(records, lexicon, text_col)
-    shared = records.sparkSession.sparkContext.broadcast((names.roles, names.ordinary))
+    evidence = written(corpus_evidence(records, text_col), "evidence")
+    learned, misleading = learned_names(evidence, lexicon, max_broadcast_rows=max_broadcast_rows), misleading_cues(evidence)
+    known = lexicon_names(lexicon)
+    few = small_enough(learned, max_broadcast_rows)
+    if few:
+        known |= {r["name"]: r["role"] for r in learned.collect()}
+    shared = records.sparkSession.sparkContext.broadcast(known)
     held: dict = {}
 
-    def run(ids, texts):
+    def run(ids, texts, own=None):
         if "names" not in held:
-            held["names"] = Names(*shared.value)
-        for i, t in zip(ids, texts):
-            spans = find_personal(t, held["names"])
+            held["names"] = Names(shared.value, _ORDINARY)
+        for n, (i, t) in enumerate(zip(ids, texts)):
+            names = held["names"] if own is None or not own[n] else Names(shared.value | {x["name"]: x["role"] for x in own[n]}, _ORDINARY)
+            spans = find_personal(t, names, misleading)
             yield i, [{"kind": k, "found": t[a:b]} for a, b, k in spans], replace_personal(t or "", spans)
 
     rows = records.select(F.col(id_col).cast("string").alias("record_id"), F.col(text_col).alias("text")).where("record_id IS NOT NULL")
+    if not few:
+        words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]+(?:['’-][\p{L}]+)*"), F.lit(0))
+        # a possessive's ending is no part of the name
+        every = F.array_distinct(F.concat(words, F.transform(words, lambda w: F.regexp_replace(w, "['’].*$", ""))))
+        each = rows.select("record_id", F.explode(every).alias("name")).distinct()
+        own = join_counted(each, learned, "name", "n", max_broadcast_rows=max(1, max_broadcast_rows)).groupBy("record_id").agg(F.collect_list(F.struct("name", "role")).alias("own"))  # no more than a record's own words
+        rows = rows.join(own, "record_id", "left")
     return map_columns(rows, run, "record_id string, found array<struct<kind:string,found:string>>, clean_text string")
 
 
-def disclosing_terms(sanitized: DataFrame, least_records: int = 3, least_share: float = 0.6, least_bits: float = 6.0) -> DataFrame:
+def disclosing_terms(sanitized: DataFrame, least_records: int = 3, least_share: float = 0.6, least_bits: float = 6.0, max_broadcast_rows: int = 200_000) -> DataFrame:
     """``(term, person, records, share, bits)``: capitalised terms that tell of one person although no part of the name.
 
-    ``sanitized`` has ``(terms, persons)`` of each record. A term discloses a person when it stands in ``least_records`` of
+    ``sanitized`` has ``(record_id, terms, persons)``. A term discloses a person when it stands in ``least_records`` of
     that person's records, these are ``least_share`` of its own, and their mutual information is ``least_bits`` or more. Counts are
-    over all records; a person's records meet term by term, never in one task.
+    over all records. Only terms and persons of enough records meet, and of these only such as can reach the share, so
+    that a directory's common words and single mentions make no pairs.
     """
-    spark_rows = sanitized.select("terms", F.array_distinct("persons").alias("persons"))
-    per_term = spark_rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("nt"))
-    named = spark_rows.where("size(persons) > 0")
-    per_person = named.select(F.explode("persons").alias("person")).groupBy("person").agg(F.count("*").alias("np"))
-    both = named.select("persons", F.explode("terms").alias("term")).select("term", F.explode("persons").alias("person")).groupBy("term", "person").agg(F.count("*").alias("records"))
-    total = sanitized.agg(F.count("*").alias("all"))  # one row
-    x = both.where(F.col("records") >= least_records).join(per_term, "term").join(per_person, "person").join(F.broadcast(total))
+    each = {c: sanitized.select("record_id", F.explode(f"{c}s").alias(c)).distinct() for c in ("term", "person")}
+    support = {c: written(d.groupBy(c).agg(F.count("*").alias(f"n_{c}")).where(F.col(f"n_{c}") >= least_records), f"{c}s") for c, d in each.items()}
+    total = sanitized.agg(F.count_distinct("record_id").alias("all"))
+    most = support["person"].agg(F.max("n_person").alias("most"))
+    terms = join_counted(each["term"], support["term"], "term", "n_term", max_broadcast_rows=max_broadcast_rows)
+    terms = terms.join(F.broadcast(most)).where(F.col("n_term") * least_share <= F.col("most")).drop("most")  # one row
+    persons = join_counted(each["person"], support["person"], "person", "n_person", max_broadcast_rows=max_broadcast_rows)
+    met = terms.join(persons, "record_id").where(F.col("n_term") * least_share <= F.col("n_person"))
+    both = met.groupBy("term", "person").agg(F.count("*").alias("records"), F.max("n_term").alias("nt"), F.max("n_person").alias("np"))
+    x = both.where(F.col("records") >= least_records).join(F.broadcast(total))  # one row
     share = F.col("records") / F.col("nt")
     x = x.withColumn("share", F.round(share, 6)).withColumn("bits", F.round(F.log2(share / (F.col("np") / F.col("all"))), 6))
     return x.where((F.col("share") >= least_share) & (F.col("bits") >= least_bits)).select("term", "person", "records", "share", "bits")
@@ -401,7 +479,7 @@ def generalized(records: DataFrame, lexicon: DataFrame, id_col: str = "id", text
             yield i, len(f), t, terms, persons
 
     base = written(map_columns(sanitize(records, lexicon, id_col, text_col), with_terms, "record_id string, replaced int, clean_text string, terms array<string>, persons array<string>"), "sanitized")
-    terms = written(disclosing_terms(base).select("term").distinct(), "terms")
+    terms = written(disclosing_terms(base, max_broadcast_rows=max_broadcast_rows).select("term").distinct(), "terms")
     side = F.broadcast(terms) if small_enough(terms, max_broadcast_rows) else terms
     hit = base.select("record_id", F.explode("terms").alias("term")).join(side, "term", "left_semi")
     per = hit.groupBy("record_id").agg(F.collect_set("term").alias("bad"))  # no more than a record's own terms

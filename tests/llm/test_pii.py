@@ -1,6 +1,6 @@
 import pytest
 
-from holdfast.llm.pii import Names, _ORDINARY, disclosure, generalized, find_personal, learned_names, name_evidence, personal_data, replace_personal, sanitize
+from holdfast.llm.pii import _ORDINARY, Names, disclosure, generalized, find_personal, learned_names, corpus_evidence, misleading_cues, personal_data, replace_personal, sanitize
 from tests.conftest import rows
 
 NAMES = Names({"ada": 1, "rose": 1, "april": 1, "heather": 1, "quill": 2, "brook": 2, "marsh": 2, "kestholt": 2, "vey-low": 2}, _ORDINARY)
@@ -44,12 +44,13 @@ def test_learned_and_table(spark):
     data = [(f"r{i}", f"{g} Zandorf spoke near Quill Creek. The river and Mill Creek were low.", 1) for i, g in enumerate(["Ada", "Bea", "Cleo"] * 3)]
     data += [(f"u{i}", f"Then Ottilie Zandorf came. Long Water {i} ran.", 1) for i in range(5)] + [("n", None, 1), (None, "Ada Quill", 1), ("e", "", 1), ("x", "Mr. Ottilie Zandorf", 1), ("x", "Mr. Ottilie Zandorf", 1), ("long", "Water " * 100_000, 1)]
     df = spark.createDataFrame(data, "id string, body_text string, found int")
-    n = learned_names(df, lex)
-    assert n.roles["zandorf"] == 2 and n.roles["ottilie"] == 1 and "creek" not in n.roles and "water" not in n.roles
-    bits = {r["term"]: r["bits"] for r in disclosure(name_evidence(df), {"ada": 1, "bea": 1, "cleo": 1, "quill": 2}).collect()}
-    assert bits["zandorf"] > 3
+    assert {r["name"]: r["role"] for r in learned_names(corpus_evidence(df), lex).collect()} == {"zandorf": 2, "ottilie": 1}
+    known = spark.createDataFrame([("ada", 1), ("bea", 1), ("cleo", 1), ("quill", 2)], "name string, role int")
+    bits = {r["term"]: r["bits"] for r in disclosure(corpus_evidence(df), known).collect()}
+    assert bits["zandorf"] > 2
     got = rows(personal_data(df, lex))
     assert ("x", "person", "Ottilie Zandorf") in got and ("r0", "person", "Ada Zandorf") in got and not [g for g in got if "Creek" in g[2]]
+    assert rows(sanitize(df, lex, max_broadcast_rows=0)) == rows(sanitize(df, lex))
     clean = {r["record_id"]: r["clean_text"] for r in sanitize(df, lex).collect() if r["record_id"] in ("x", "n", "e")}
     assert clean == {"x": "Mr. [PERSON]", "n": "", "e": ""}
     assert rows(personal_data(df.where("false"), lex)) == []
@@ -61,3 +62,21 @@ def test_terms_that_disclose(spark):
     got = {r["record_id"]: r for r in generalized(spark.createDataFrame(data, "id string, body_text string"), lex, max_broadcast_rows=0).collect()}
     assert got["a0"]["clean_text"] == "[PERSON] of [TERM] spoke. The River 0 ran." and (got["a0"]["replaced"], got["a0"]["generalized"]) == (1, 1)
     assert got["c"]["clean_text"] == "In [TERM] it rained." and got["b1"]["clean_text"] == "The River ran low." and got["n"]["clean_text"] == ""
+
+
+def test_names_learned_are_the_same_in_a_larger_corpus(spark):
+    lex = spark.createDataFrame([("April", "given"), ("Ada", "given"), ("Bea", "given"), ("Quill", "family"), ("Rust", "family")], "name string, name_kind string")
+    data = [f"{g} Zandorf wrote the April memo. Quill, Northleyer Allee 7." for g in ("Ada", "Bea")] * 20 + ["April Memo: Ada Rust."] * 4 + ["the memo of april 1990"] * 60 + ["April came. Northleyer Allee and Northleyer Weg."] * 60
+    for times in (1, 10):
+        df = spark.createDataFrame([(f"{i}-{n}", t) for i in range(times) for n, t in enumerate(data)], "id string, body_text string")
+        assert [r["name"] for r in learned_names(corpus_evidence(df), lex).collect()] == ["zandorf"]
+        found = personal_data(df, lex).where("kind = 'person'").groupBy("found").count().collect()
+        assert {r["found"]: r["count"] for r in found} == {"Ada Zandorf": 20 * times, "Bea Zandorf": 20 * times, "Ada Rust": 4 * times}
+
+
+def test_misleading_cues(spark):
+    data = ["Call (541) 555-0154."] * 20 + ["Call 541-555-0154, or tel. +1 541 555 0199."] * 20 + ["Tract 541-555-0154 was sold."] * 40 + ["Ring 541-555-0188."]
+    df = spark.createDataFrame([(f"{n}", t) for n, t in enumerate(data)], "id string, body_text string")
+    assert misleading_cues(corpus_evidence(df)) == {"tract"}
+    lex = spark.createDataFrame([("Ada", "given")], "name string, name_kind string")
+    assert {r["found"]: r["count"] for r in personal_data(df, lex).groupBy("found").count().collect()} == {"(541) 555-0154": 20, "541-555-0154": 20, "+1 541 555 0199": 20, "541-555-0188": 1}
