@@ -11,18 +11,18 @@ from pyspark.sql import functions as F
 
 # The two classifications of file names.
 CONTENT_TYPES = {
-    "pdf": ".pdf",
-    "html": ".htm .html .shtml .cfm .asp .php",
-    "text": ".txt .md .rtf",
-    "office": ".doc .docx .xls .xlsx .ppt .pptx",
-    "image": ".jpg .jpeg .png .gif .tif .tiff .bmp",
-    "video": ".mp4 .mov .avi .wmv",
-    "audio": ".mp3 .wav",
+    "pdf": (".pdf",),
+    "html": (".htm", ".html", ".shtml", ".cfm", ".asp", ".php"),
+    "text": (".txt", ".md", ".rtf"),
+    "office": (".doc", ".docx", ".xls", ".xlsx", ".ppt", ".pptx"),
+    "image": (".jpg", ".jpeg", ".png", ".gif", ".tif", ".tiff", ".bmp"),
+    "video": (".mp4", ".mov", ".avi", ".wmv"),
+    "audio": (".mp3", ".wav"),
 }
 MATERIAL = {
-    "document": ".pdf .doc .docx .rtf .txt .odt .pages .eml",
-    "web": ".html .htm .php .cfm .js .css .xml .asp .mo .po",
-    "media": ".jpg .jpeg .png .gif .tif .tiff .mp3 .m4a .wav .mov .mp4 .avi .psd .dvf .key .ppt .pptx",
+    "document": (".pdf", ".doc", ".docx", ".rtf", ".txt", ".odt", ".pages", ".eml"),
+    "web": (".html", ".htm", ".php", ".cfm", ".js", ".css", ".xml", ".asp", ".mo", ".po"),
+    "media": (".jpg", ".jpeg", ".png", ".gif", ".tif", ".tiff", ".mp3", ".m4a", ".wav", ".mov", ".mp4", ".avi", ".psd", ".dvf", ".key", ".ppt", ".pptx"),
 }
 NOISE_NAMES = (".DS_Store", "Thumbs.db", ".localized", "Icon\r")
 BUNDLES = (".pages/", ".key/", ".numbers/", ".app/", ".sparsebundle/")
@@ -53,10 +53,10 @@ def extension(key: Column) -> Column:
     return F.when(F.length(s).between(2, 6), s).otherwise(F.lit("(none)"))
 
 
-def _lookup(value: Column, classes: dict[str, str], other: str) -> Column:
+def _lookup(value: Column, classes: dict[str, tuple[str, ...]], other: str) -> Column:
     out = F.lit(other)
     for name, members in reversed(classes.items()):
-        out = F.when(value.isin(*members.split()), F.lit(name)).otherwise(out)
+        out = F.when(value.isin(*members), F.lit(name)).otherwise(out)
     return out
 
 

@@ -160,6 +160,51 @@ def largest_groups(objects: DataFrame, k: int = 25, members: int = 6) -> DataFra
     return top.join(keys, "etag")
 
 
+def largest_listing_groups(objects: DataFrame, k: int = 10, members: int = 5) -> DataFrame:
+    """``(bucket, etag, copies, keys)``: each listing's largest groups with their first keys, joined by a line end; noise and
+    empty objects included. ``k`` groups a bucket are broadcast, as a registry bounds their number."""
+    top = top_k(etag_groups(objects, corpus=False), k, [F.desc("copies"), F.col("etag")], ["bucket"])
+    some = described(objects).select("bucket", "etag", "key").join(F.broadcast(top.select("bucket", "etag")), ["bucket", "etag"])
+    first = top_k(some, members, [F.col("key")], ["bucket", "etag"])
+    keys = first.groupBy("bucket", "etag").agg(F.array_join(F.array_sort(F.collect_list("key")), "\n").alias("keys"))
+    return top.join(keys, ["bucket", "etag"]).select("bucket", "etag", "copies", "keys")
+
+
+#: How many values of a dimension a listing's summary shows, NULL for all; years come in their own order.
+SHOWN = {"ext": 25, "ctype": None, "class": None, "top": 40, "year": None, "material": None, "prefix": 25}
+
+
+def listing_summary(objects: DataFrame, registry: DataFrame | None = None) -> DataFrame:
+    """A row for each bucket: sizes, percentiles, what text can be taken from, empty objects, duplicates, and for each dimension its
+    leading values as ``value=objects/bytes``, joined by a line end. With a registry its buckets' regions stand beside, and
+    registered buckets without objects have a row of zeros."""
+    d = dimension_counts(objects)
+    rank = F.row_number().over(Window.partitionBy("bucket", "dim").orderBy(F.when(F.col("dim") == "year", F.col("value")), F.desc("objects"), "value"))
+    most = F.lit(None).cast("int")
+    for dim, k in SHOWN.items():
+        most = F.when(F.col("dim") == dim, F.lit(k).cast("int")).otherwise(most)
+    shown = d.withColumn("rank", rank).where(most.isNull() | (F.col("rank") <= most))
+    line = F.struct("rank", F.concat(F.col("value"), F.lit("="), F.col("objects"), F.lit("/"), F.col("bytes")).alias("line"))
+    listed = lambda dim: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("dim") == dim, line))), lambda x: x["line"]), "\n").alias(f"by_{dim}")
+    dims = shown.groupBy("bucket").agg(*[listed(dim) for dim in SHOWN])
+    empty = described(objects).where("size = 0").groupBy("bucket").agg(F.count("*").alias("zero_byte_objects"))
+    out = size_summary(objects).join(text_extractable(objects).drop("objects"), "bucket").join(dims, "bucket")
+    for part in (empty, name_size_collisions(objects), listing_duplicates(objects)):
+        out = out.join(part, "bucket", "left")
+    if registry is not None:
+        r = registry.where("name IS NOT NULL").groupBy(F.col("name").alias("bucket")).agg(F.max("region").alias("region"))
+        out = r.join(out, "bucket", "full")
+    return out.na.fill(0).na.fill("", [f"by_{dim}" for dim in SHOWN])
+
+
+def empty_listings(objects: DataFrame, registry: DataFrame) -> DataFrame:
+    """``(bucket)`` of registered buckets without a listed object; raises where no listing holds anything."""
+    held = objects.groupBy("bucket").agg(F.count("*").alias("objects"))
+    guard = held.agg(F.count("*").alias("n")).select(F.when(F.col("n") == 0, F.raise_error(F.lit("every listing is empty"))).otherwise(F.lit(True)).cast("boolean").alias("some"))
+    r = registry.where("name IS NOT NULL").select(F.col("name").alias("bucket")).distinct()
+    return r.join(held, "bucket", "left_anti").join(F.broadcast(guard)).where("some").select("bucket")  # one row
+
+
 def stride_sample(objects: DataFrame, k: int = 50) -> DataFrame:
     """``k`` keys at equal steps through the listing's order, (bucket, key).
 

@@ -32,7 +32,7 @@ def event(items: DataFrame, status: str, error_chars: int = 2000) -> DataFrame:
     if status not in ("done", "failed", "skipped"):
         raise ValueError(f"no such status: {status}")
     done = status == "done"
-    col = lambda c, kind: F.col(c).cast(kind).alias(c) if c in items.columns and (done or c in ("etag", "byte_size")) else F.lit(None).cast(kind).alias(c)
+    col = lambda c, kind: F.col(c).cast(kind).alias(c) if c in items.columns and done else F.lit(None).cast(kind).alias(c)
     error = F.left(F.col("error"), F.lit(error_chars)) if "error" in items.columns and not done else F.lit(None)
     return items.select("s3_key", col("record_id", "string"), col("text_sha256", "string"), col("etag", "string"), col("byte_size", "bigint"), F.lit(status).alias("status"), error.cast("string").alias("error"), S.utc_now().alias("updated_at"))
 

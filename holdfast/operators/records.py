@@ -8,16 +8,16 @@ from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from holdfast.functions import scalars as S
-from holdfast.operators.rows import one_per_key
+from holdfast.operators.rows import balanced, one_per_key
 
 # The record's enumerations and patterns.
 ENUMS = {
-    "content_type": "html pdf office text image audio video other",
-    "publication_date_precision": "day month year",
-    "publication_date_source": "metadata url_path text_extracted last_modified unknown",
-    "provenance.retrieved_from": "s3_archive live_site wayback",
-    "extraction.status": "ok empty ocr ocr_low_confidence failed skipped",
-    "extraction.method": "pdftotext tesseract textract html_extract plain",
+    "content_type": ("pdf", "html", "image", "office", "video", "audio", "text", "other"),
+    "publication_date_precision": ("day", "month", "year"),
+    "publication_date_source": ("document_metadata", "page_byline", "url_path", "filename", "manual"),
+    "provenance.retrieved_from": ("s3_archive", "live_site", "wayback"),
+    "extraction.status": ("ok", "empty", "ocr", "ocr_low_confidence", "failed", "skipped"),
+    "extraction.method": ("pdftotext", "tesseract", "textract", "html_extract", "plain"),
 }
 PATTERNS = {
     "id": r"^[a-z0-9][a-z0-9_-]*-[0-9a-f]{12}$",
@@ -32,6 +32,7 @@ SCHEMA_VERSION = "1"
 
 def composed(df: DataFrame, col: str, out: str = "composed") -> DataFrame:
     """``df`` with the text composed by Unicode; only rows that may need it go through Python."""
+    df = balanced(df)
     plain = df.where(F.col(col).isNull() | ~S.needs_nfc(F.col(col))).withColumn(out, F.col(col))
     rest = df.where(S.needs_nfc(F.col(col))).withColumn(out, S.nfc(F.col(col)))
     return plain.unionByName(rest)
@@ -69,6 +70,19 @@ def derived(records: DataFrame) -> DataFrame:
     )
 
 
+def displayed(records: DataFrame, id_col: str = "id", text_col: str = "body_text") -> DataFrame:
+    """``(id, display_text)``: the text made readable; NULL stays NULL."""
+    c = composed(records.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text")
+    return c.select("id", S.display_text(F.col("composed")).alias("display_text"))
+
+
+def with_ledger(hashed: DataFrame, seen: DataFrame) -> DataFrame:
+    """``(id, text_sha256, seen_as, keys)``: each document with the ledger's record of the same text and the number of its keys, NULL
+    and 0 where there is none. ``seen`` has one row for each text, so that copies multiply nothing."""
+    s = seen.select("text_sha256", F.col("record_id").alias("seen_as"), "keys")
+    return hashed.join(s, "text_sha256", "left").select("id", "text_sha256", "seen_as", F.coalesce("keys", F.lit(0)).cast("bigint").alias("keys"))
+
+
 def duplicate_of(hashed: DataFrame) -> DataFrame:
     """``(id, text_sha256, duplicate_of)``: all but the least id of a checksum point to that one; every row is kept.
 
@@ -93,7 +107,7 @@ def violations(records: DataFrame) -> DataFrame:
 
     rules = [rule(f"required:{c}", F.coalesce(F.col(c), F.lit("")) == "") for c in REQUIRED]
     rules += [rule(f"pattern:{c}", ~F.col(c).rlike(p)) for c, p in PATTERNS.items()]
-    rules += [rule(f"enum:{c}", ~F.col(c).isin(*v.split())) for c, v in ENUMS.items()]
+    rules += [rule(f"enum:{c}", ~F.col(c).isin(*v)) for c, v in ENUMS.items()]
     rules += [
         rule("range:provenance.byte_size", F.col("provenance.byte_size") < 0),
         rule("range:extraction.char_count", F.col("extraction.char_count") < 0),
@@ -106,10 +120,14 @@ def violations(records: DataFrame) -> DataFrame:
 
 
 def dangling_duplicates(records: DataFrame) -> DataFrame:
-    """``(id, duplicate_of)`` that refer to no record with the same text checksum."""
-    a = records.where("duplicate_of IS NOT NULL").select("id", "duplicate_of", "text_sha256")
-    b = records.select(F.col("id").alias("target"), F.col("text_sha256").alias("sha"))
-    return a.join(b, (F.col("duplicate_of") == F.col("target")) & (F.col("text_sha256") == F.col("sha")), "left_anti").select("id", "duplicate_of")
+    """``(id, duplicate_of)`` that refer to no other record with the same text checksum captured no later, as far as
+    both have a ``capture_date`` that can be read."""
+    if "capture_date" not in records.columns:
+        records = records.withColumn("capture_date", F.lit(None).cast("string"))
+    a = records.where("duplicate_of IS NOT NULL").select("id", "duplicate_of", "text_sha256", F.try_to_timestamp("capture_date").alias("t"))
+    b = records.select(F.col("id").alias("target"), F.col("text_sha256").alias("sha"), F.try_to_timestamp("capture_date").alias("before"))
+    same = (F.col("duplicate_of") == F.col("target")) & (F.col("text_sha256") == F.col("sha")) & (F.col("id") != F.col("target"))
+    return a.join(b, same & F.coalesce(F.col("before") <= F.col("t"), F.lit(True)), "left_anti").select("id", "duplicate_of")
 
 
 def to_json_lines(records: DataFrame) -> DataFrame:

@@ -8,6 +8,20 @@ from pyspark.sql import functions as F
 from holdfast.storage import small_enough, written
 
 
+def balanced(df: DataFrame) -> DataFrame:
+    """``df`` in as many partitions as the cluster has cores, where it is a plain scan that has fewer.
+
+    Work on whole texts takes far longer than reading them, and a small table in one file is one task. An input of at least as
+    many splits as cores, as any large one is, isn't moved, nor is anything that has gone through an exchange.
+    """
+    plan = df._jdf.queryExecution().executedPlan()  # type: ignore[operator]
+    if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    parts = df._jdf.queryExecution().toRdd().getNumPartitions()  # type: ignore[operator]
+    return df.repartition(cores) if 0 < parts < cores else df
+
+
 def one_per_key(df: DataFrame, key: str, newest: str, max_broadcast_rows: int = 200_000) -> DataFrame:
     """One row for each value of ``key``: that with the greatest ``newest`` (ties: any, the rows being copies).
 
@@ -15,7 +29,7 @@ def one_per_key(df: DataFrame, key: str, newest: str, max_broadcast_rows: int =
     rows of all other keys pass by unmoved, and only the repeated ones are reduced. Where more than
     ``max_broadcast_rows`` keys repeat, the list isn't broadcast but joined by exchange. Rows with a NULL key are left out.
     """
-    df = df.where(F.col(key).isNotNull())
+    df = balanced(df.where(F.col(key).isNotNull()))
     counts = df.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(F.col(key).alias("_k"))
     repeated = written(counts, "repeated")
     if small_enough(repeated, 0):

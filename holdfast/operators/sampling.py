@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -80,41 +80,59 @@ def verdict(measured: DataFrame, max_mb: float = 200.0, low: float = 50.0, rich:
     return measured.withColumn("verdict", v)
 
 
-def measure(files: DataFrame, info: str = "pdfinfo", text: str = "pdftotext", pages_scanned: int = 30, info_seconds: int = 60, text_seconds: int = 180) -> DataFrame:
-    """Runs two external tools on each file of ``(bucket, key, size, content)``; a row each, failures in ``failure``."""
+def measure(files: DataFrame, fetch: Callable[[str, str], bytes], info: str = "pdfinfo", text: str = "pdftotext", max_mb: float = 200.0, pages_scanned: int = 30, info_seconds: int = 60, text_seconds: int = 180, tasks: int | None = None) -> DataFrame:
+    """Runs two external tools on each file of ``(bucket, key, size)``; a row each, failures in ``failure``.
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    ``fetch`` takes bucket and key and returns the file's bytes. Only names go through the plan: a file is fetched when its
+    turn comes, one at a time, and handed to the tools' standard input; nothing is written to a disk. Files larger than
+    ``max_mb`` aren't fetched. ``tasks`` spreads the files evenly.
+    """
+
+    def one(bucket: str, key: str, size: int | None) -> dict:
         import re
         import subprocess
-        import tempfile
 
+        row = {"bucket": bucket, "key": key, "size": size, "failure": None, "pages": None, "producer": None, "chars_scanned": None, "chars_per_page": None, "error": None}
+        if size is not None and size > max_mb * 1_000_000:
+            return row
+        try:
+            content = fetch(bucket, key)
+            i = subprocess.run([info, "-"], input=content, capture_output=True, timeout=info_seconds)
+            if i.returncode:
+                why = i.stderr.decode(errors="replace")
+                return row | {"failure": "encrypted" if re.search("encrypt|password", why, re.I) else "corrupt", "error": why.strip()[:120]}
+            said = i.stdout.decode(errors="replace")
+            m, made = re.search(r"^Pages:\s*(\d+)", said, re.M), re.search(r"^Producer:[ \t]*(.*\S)", said, re.M)
+            row |= {"pages": int(m[1]) if m else 0, "producer": made[1][:80] if made else None}
+            if row["pages"]:
+                n = min(row["pages"], pages_scanned)
+                body = subprocess.run([text, "-l", str(n), "-", "-"], input=content, capture_output=True, timeout=text_seconds).stdout.decode(errors="replace")
+                row["chars_scanned"] = len(re.sub(r"\s+", "", body))
+                row["chars_per_page"] = round(row["chars_scanned"] / n, 1)
+        except subprocess.TimeoutExpired:
+            row["failure"] = "timeout"
+        except Exception as e:  # whatever the fetcher or the system raises is one file's failure
+            row |= {"failure": "download_failed", "error": str(e)[:120]}
+        return row
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            out = []
-            for b, k, s, content in zip(f.bucket, f.key, f["size"], f.content):
-                row = {"bucket": b, "key": k, "size": s, "failure": None, "pages": None, "chars_scanned": None, "chars_per_page": None, "error": None}
-                with tempfile.NamedTemporaryFile(suffix=".pdf") as t:
-                    try:
-                        t.write(bytes(content))
-                        t.flush()
-                        i = subprocess.run([info, t.name], capture_output=True, timeout=info_seconds, text=True, errors="replace")
-                        if i.returncode:
-                            row |= {"failure": "encrypted" if re.search("encrypt|password", i.stderr, re.I) else "corrupt", "error": i.stderr.strip()[:120]}
-                        else:
-                            m = re.search(r"^Pages:\s*(\d+)", i.stdout, re.M)
-                            row["pages"] = int(m[1]) if m else 0
-                            if row["pages"]:
-                                n = min(row["pages"], pages_scanned)
-                                body = subprocess.run([text, "-l", str(n), t.name, "-"], capture_output=True, timeout=text_seconds, text=True, errors="replace").stdout
-                                row["chars_scanned"] = len(re.sub(r"\s+", "", body))
-                                row["chars_per_page"] = round(row["chars_scanned"] / n, 1)
-                    except subprocess.TimeoutExpired:
-                        row["failure"] = "timeout"
-                    except OSError as e:
-                        row |= {"failure": "download_failed", "error": str(e)[:120]}
-                out.append(row)
-            yield pd.DataFrame(out)
-
-    return files.mapInPandas(run, "bucket string, key string, size bigint, failure string, pages bigint, chars_scanned bigint, chars_per_page double, error string")
+            for b, k, s in zip(f.bucket, f.key, f["size"]):
+                yield pd.DataFrame([one(b, k, None if pd.isna(s) else int(s))])
+
+    named = files.select("bucket", "key", "size")
+    return (named.repartition(tasks) if tasks else named).mapInPandas(run, "bucket string, key string, size bigint, failure string, pages bigint, producer string, chars_scanned bigint, chars_per_page double, error string")
+
+
+def failed(results: DataFrame) -> DataFrame:
+    """``(bucket, key, verdict)`` of files that couldn't be measured."""
+    return results.where(F.col("verdict").isin(*FAILED)).select("bucket", "key", "verdict")
+
+
+def top_producers(results: DataFrame, k: int = 12) -> DataFrame:
+    """``(producer, files)``: the commonest producers, cut to 80 characters, ties by name."""
+    p = results.where(F.col("producer") != "").groupBy(F.left("producer", F.lit(80)).alias("producer")).agg(F.count("*").alias("files"))
+    return p.orderBy(F.desc("files"), "producer").limit(k)
 
 
 def weights(allocated: DataFrame) -> DataFrame:
@@ -131,9 +149,9 @@ def verdict_counts(results: DataFrame, allocated: DataFrame) -> DataFrame:
 
 
 def page_statistics(results: DataFrame) -> DataFrame:
-    """``(verdict, files, mean_pages, median_chars_per_page)`` of files with pages."""
+    """``(verdict, files, mean_pages, median_chars_per_page)`` of files with pages, by verdict and over ``all``."""
     m = results.where("pages > 0")
-    return m.groupBy("verdict").agg(F.count("*").alias("files"), F.round(F.avg("pages"), 6).alias("mean_pages"), F.round(F.median("chars_per_page"), 6).alias("median_chars_per_page"))
+    return m.groupingSets([["verdict"], []], "verdict").agg(F.count("*").alias("files"), F.round(F.avg("pages"), 6).alias("mean_pages"), F.round(F.median("chars_per_page"), 6).alias("median_chars_per_page")).select(F.coalesce("verdict", F.lit("all")).alias("verdict"), "files", "mean_pages", "median_chars_per_page")
 
 
 def estimate(results: DataFrame, allocated: DataFrame, usd_per_1000_pages: float = 1.5, seconds_per_page: float = 2.0) -> DataFrame:

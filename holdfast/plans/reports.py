@@ -70,3 +70,41 @@ def type_shares(objects: DataFrame) -> DataFrame:
     t = I.value_counts(objects, "ctype")
     whole = t.agg(F.sum("objects").alias("whole"))  # one row
     return t.join(F.broadcast(whole)).select("ctype", "objects", F.round(S.share(F.col("objects"), F.col("whole")), 6).alias("share"))
+
+
+def console(objects: DataFrame, sample: int = 20) -> list[str]:
+    """The lines of a report on one listing: sizes, types with their shares, extensions, prefixes, years, duplicates, classes with a
+    warning of archive tiers, empty objects, and a sample of keys. Only leading rows are collected."""
+
+    def section(title: str) -> None:
+        out.extend(["", title, "-" * len(title)])
+
+    out: list[str] = ["Inventory report", "================"]
+    total = objects.agg(F.count("*").alias("n"), F.coalesce(F.sum(S.size_of(F.col("size"))), F.lit(0)).alias("b")).first()
+    out.append(f"Objects: {total['n']:,}   Total: {human(total['b'])}")
+    section("Size distribution")
+    for r in I.size_summary(objects.withColumn("bucket", F.lit("all"))).collect():
+        out += [f"  {c:>5}: {human(r[c])}" for c in ("min", "p50", "p90", "p99", "max", "mean")]
+    section("By content type")
+    for r in type_shares(objects).orderBy(F.desc("objects"), "ctype").collect():
+        out.append(f"  {r['ctype']:<8} {r['objects']:>7,}  ({r['share']:>5.1%})")
+    for title, dim, k in (("By extension", "ext", 25), ("Top-level prefixes", "top", 40)):
+        section(title)
+        out += [f"  {r[dim]:<44} {r['objects']:>7,}" for r in I.top_k(I.value_counts(objects, dim), k, [F.desc("objects"), F.col(dim)]).collect()]
+    section("By year of modification")
+    out += [f"  {r['year']}  {r['objects']:>7,}  {r['bar']}" for r in year_chart(objects).orderBy("year").collect()]
+    section("Duplication")
+    d, names = I.duplicate_totals(objects).first(), I.name_size_collisions(objects).agg(F.coalesce(F.sum("collision_groups"), F.lit(0)).alias("n")).first()["n"]
+    out += [f"  same name and size: {names:,} groups", f"  identical ETag: {d['identical_groups']:,} groups, {d['redundant_objects']:,} redundant objects"]
+    out += [f"    x{r['copies']}  {k}" if not n else f"          {k}" for r in I.largest_groups(objects, 10, 5).orderBy(F.desc("copies"), "etag").collect() for n, k in enumerate(r["keys"].split("\n"))]
+    section("Storage classes")
+    classes = I.value_counts(objects, "class").orderBy("class").collect()
+    out += [f"  {r['class']:<24} {r['objects']:>7,}" for r in classes]
+    if any("GLACIER" in r["class"] or "DEEP" in r["class"] for r in classes):
+        out.append("  WARNING: objects of archive tiers must be restored, at a price, before they can be read.")
+    empty = I.zero_byte(objects.withColumn("bucket", F.lit("all"))).orderBy("key").collect()
+    if empty:
+        section("Empty objects")
+        out += [f"  {empty[0]['zero_byte_objects']:,} found, among them:"] + [f"    {r['key']}" for r in empty]
+    section(f"Sample of {sample} keys")
+    return out + [f"  {r['bucket']}::{r['key']}" for r in I.stride_sample(objects, sample).orderBy("pos").collect()]

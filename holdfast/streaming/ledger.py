@@ -44,8 +44,12 @@ def current(spark: SparkSession, target: str) -> DataFrame:
 
 
 def listing_stream(spark: SparkSession, path: str, target: str, checkpoint: str, files_per_batch: int = 1) -> StreamingQuery:
-    """Listing files into parquet as they come; a restarted query goes on after the last committed file."""
+    """Listing files into parquet as they come; a restarted query goes on after the last committed file.
+
+    The progress of each batch holds its objects and bytes, under ``observedMetrics["listed"]``.
+    """
     raw = spark.readStream.schema("bucket string, key string, size bigint, modified string, etag string, class string").option("maxFilesPerTrigger", files_per_batch).json(path)
+    raw = raw.observe("listed", F.count("*").alias("objects"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
     return raw.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 

@@ -84,3 +84,46 @@ def test_changed_object_comes_again(spark, tmp_path, listing):
     run.run(listing, lambda t: t.select("item_key"))
     newer = listing.union(spark.createDataFrame([("b", "same", 1, "other", None, None, at(99))], LISTING))
     assert [r[0] for r in rows(run.plan(newer)[1])] == ["same"]
+
+
+def test_a_listing_that_grows_during_the_run_loses_nothing(spark, tmp_path):
+    src, seen = str(tmp_path / "listing"), []
+    row = lambda k, n=0: spark.createDataFrame([("b", k, 1, f"e-{k}", None, None, at(n))], LISTING)
+    row("early").write.parquet(src)
+    listing = spark.read.schema(LISTING).parquet(src)
+
+    def work(todo):
+        late = f"late{len(seen)}"
+        row(late).write.mode("append").parquet(src)  # a page that arrives meanwhile
+        seen.append(sorted(r["item_key"] for r in todo.collect()))
+        return todo.select("item_key")
+
+    run = N.IncrementalRun(spark, str(tmp_path / "runs"))
+    for _ in range(3):
+        spark.catalog.refreshByPath(src)
+        run.run(spark.read.schema(LISTING).parquet(src), work)
+    assert seen == [["early"], ["late0"], ["late1"]]
+    assert {r["item_key"]: r["status"] for r in run.manifest().collect()} == {"early": "done", "late0": "done", "late1": "done"}
+
+
+def test_size_is_in_the_manifest(spark, tmp_path):
+    run = N.IncrementalRun(spark, str(tmp_path))
+    row = lambda size, etag: spark.createDataFrame([("b", "k", size, etag, None, None, at(0))], LISTING)
+    run.run(row(1, None), lambda t: t.select("item_key"))
+    assert rows(run.manifest()) == [("k", None, 1, "done")]
+    assert rows(run.plan(row(1, "any"))[1]) == [] and rows(run.plan(row(None, None))[1]) == []
+    assert [r[0] for r in rows(run.plan(row(2, None))[1])] == ["k"]
+
+
+def test_compaction(spark, tmp_path):
+    run = N.IncrementalRun(spark, str(tmp_path), compact_after=2)
+    names = []
+    for n in range(5):
+        listing = spark.createDataFrame([("b", f"k{i}", 1, "e", None, None, at(0)) for i in range(n + 1)], LISTING)
+        names.append(run.run(listing, lambda t: t.select("item_key")))
+        assert run.run(listing, lambda t: t.select("item_key")) is None
+        assert len(rows(run.manifest())) == n + 1 and len(run.committed()) <= 2
+    assert [x[:6] for x in names] == [f"{n:06d}" for n in range(5)]
+    # a folded folder without its marker isn't in force
+    (tmp_path / "manifest" / "000009-all").mkdir()
+    assert len(rows(run.manifest())) == 5

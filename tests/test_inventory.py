@@ -75,3 +75,32 @@ def test_report(objects):
     assert rows(reports.year_chart(objects, 10)) == [("2010", 2, "#" * 10), ("2011", 2, "#" * 10)]
     assert sum(r["share"] for r in reports.type_shares(objects).collect()) == pytest.approx(1, abs=1e-5)
     assert reports.human(1536) == "1.5 KB"
+
+
+def test_listing_summary(spark, objects):
+    reg = spark.createDataFrame([("a", "eu"), ("z", "us"), (None, "x")], "name string, region string")
+    got = {r["bucket"]: r for r in I.listing_summary(objects, reg).collect()}
+    n = objects.groupBy("bucket").count().collect()
+    assert {b: r["objects"] for b, r in got.items()} == {r["bucket"]: r["count"] for r in n} | {"z": 0}
+    assert got["z"]["by_ext"] == "" and got["a"]["region"] == "eu" and got["b"]["region"] is None
+    for r in got.values():
+        for dim in ("ext", "ctype", "class", "material", "prefix"):
+            assert sum(int(x.rsplit("=", 1)[1].split("/")[0]) for x in r[f"by_{dim}"].split("\n") if x) == r["objects"]
+    years = [x[:4] for x in got["b"]["by_year"].split("\n")]
+    assert years == sorted(years)
+    assert rows(I.listing_summary(objects.where("false"))) == []
+    text = "\n".join(reports.console(objects))
+    assert "Objects: " in text and "Size distribution" in text and "By content type" in text and "Duplication" in text
+
+
+def test_empty_listings(spark, objects):
+    reg = spark.createDataFrame([("a",), ("z",), ("z",), (None,)], "name string")
+    assert rows(I.empty_listings(objects, reg)) == [("z",)]
+    with pytest.raises(Exception, match="every listing is empty"):
+        I.empty_listings(objects.where("false"), reg).collect()
+
+
+def test_largest_groups_of_a_listing(spark):
+    data = [("a", f"k{i}", 5, "e1", None, None) for i in range(7)] + [("a", "x", 5, "e2", None, None), ("b", "y", 5, "e1", None, None), ("a", "m1", 5, "p-2", None, None), ("a", "m2", 5, "p-2", None, None)]
+    o = spark.createDataFrame(data, "bucket string, key string, size bigint, etag string, class string, modified string")
+    assert rows(I.largest_listing_groups(o)) == [("a", "e1", 7, "k0\nk1\nk2\nk3\nk4")]

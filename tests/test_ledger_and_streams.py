@@ -1,5 +1,6 @@
 import gzip
 import json
+import pathlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 from holdfast import schemas
 from holdfast.operators import ledger as L
 from holdfast.sources import files
-from holdfast.sources.paged import PagedListing
+from holdfast.sources.paged import PagedListing, listing_actions, listing_totals, resumed_options
 from holdfast.streaming import ledger as SL
 from tests.conftest import rows
 
@@ -104,3 +105,60 @@ def test_paged_listing(spark, tmp_path):
     opts = {"buckets": "x,y", "path": f"{tmp_path}/{{bucket}}"}
     got = spark.read.format("paged_listing").options(**opts).load()
     assert got.count() == 12 and {r["etag"] for r in got.collect()} == {"e"}
+
+
+def opaque_pages(options, token):
+    page = json.loads((pathlib.Path(options["path"]) / f"{token or 'first'}.json").read_text())
+    return page["rows"], page["next"]
+
+
+def pages(folder, bucket, names):
+    (folder / bucket).mkdir()
+    for n, (name, following) in enumerate(zip(names, [*names[1:], None])):
+        doc = {"rows": [{"Key": f"{bucket}-{n}-{i}", "Size": 2, "ETag": '"e"'} for i in range(3)], "next": following}
+        (folder / bucket / f"{name}.json").write_text(json.dumps(doc))
+
+
+def test_paged_stream_lists_every_bucket_by_opaque_tokens(spark, tmp_path):
+    pages(tmp_path, "x", ["first", "qX_9=", "zz~a"])
+    pages(tmp_path, "y", ["first", "t-1"])
+    spark.dataSource.register(PagedListing)
+    opts = {"buckets": "x,y", "path": f"{tmp_path}/{{bucket}}", "fetcher": "tests.test_ledger_and_streams:opaque_pages"}
+    want = sorted([f"x-{n}-{i}" for n in range(3) for i in range(3)] + [f"y-{n}-{i}" for n in range(2) for i in range(3)])
+    assert sorted(r["key"] for r in spark.read.format("paged_listing").options(**opts).load().collect()) == want
+    out, cp = str(tmp_path / "out"), str(tmp_path / "cp")
+    for _ in range(2):  # the second query finds both listings complete
+        q = spark.readStream.format("paged_listing").options(**opts).load().writeStream.format("parquet").option("path", out).option("checkpointLocation", cp).start()
+        q.processAllAvailable()
+        q.stop()
+        assert sorted(r["key"] for r in spark.read.parquet(out).collect()) == want
+
+
+def test_listing_actions(spark, tmp_path):
+    buckets = spark.createDataFrame([("done",), ("half",), ("new",), ("lost",), (None,)], "name string")
+    c = spark.createDataFrame([("done", True, None, 5, 50), ("half", False, "t?=", 3, 30), ("lost", False, None, None, None), ("gone", True, None, 1, 1)], "bucket string, complete boolean, continuation_token string, object_count bigint, total_bytes bigint")
+    assert rows(listing_actions(buckets, c)) == [("done", "skip", None, 5, 50), ("half", "resume", "t?=", 3, 30), ("lost", "start", None, 0, 0), ("new", "start", None, 0, 0)]
+    assert [r[1:] for r in rows(listing_actions(buckets, c, force=True))] == [("restart", None, 0, 0)] * 3 + [("start", None, 0, 0)]
+    assert resumed_options(listing_actions(buckets, c)) == {"buckets": "half,lost,new", "tokens": '{"half": "t?="}'}
+    assert rows(listing_totals(c)) == [(4, 9, 81, "half,lost")] and rows(listing_totals(c.where("false"))) == [(0, 0, 0, "")]
+    pages(tmp_path, "half", ["first", "t", "u"])
+    spark.dataSource.register(PagedListing)
+    opts = {"buckets": "half", "tokens": '{"half": "t"}', "path": f"{tmp_path}/{{bucket}}", "fetcher": "tests.test_ledger_and_streams:opaque_pages"}
+    assert spark.read.format("paged_listing").options(**opts).load().count() == 6
+
+
+def test_listing_stream_counts(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for n in range(2):
+        (tmp_path / "in" / f"{n}.json").write_text("\n".join(json.dumps({"bucket": "b", "key": f"k{n}{i}", "size": 4}) for i in range(3)))
+    q = SL.listing_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp"))
+    q.awaitTermination()
+    assert [(p["observedMetrics"]["listed"]["objects"], p["observedMetrics"]["listed"]["bytes"]) for p in q.recentProgress if p["numInputRows"]] == [(3, 12)] * 2
+
+
+def test_failed_events_keep_only_their_error(spark):
+    items = spark.createDataFrame([("k", "r", "s", "e", 5, "x" * 3000)], "s3_key string, record_id string, text_sha256 string, etag string, byte_size bigint, error string")
+    for status in ("failed", "skipped"):
+        r = L.event(items, status).first()
+        assert (r["etag"], r["byte_size"], r["record_id"], len(r["error"])) == (None, None, None, 2000)
+    assert L.event(items, "done").first()["etag"] == "e"

@@ -74,3 +74,45 @@ def test_html_text(spark):
     }
     df = spark.createDataFrame([(i, k) for i, k in enumerate([*cases, None])], "i int, h string")
     assert [r[1] for r in df.select("i", html_to_text(F.col("h"))).orderBy("i").collect()] == [*cases.values(), None]
+
+
+@pytest.mark.parametrize(
+    "field,values",
+    [
+        ("content_type", ["pdf", "html", "image", "office", "video", "audio", "text", "other"]), ("publication_date_precision", ["day", "month", "year"]),
+        ("publication_date_source", ["document_metadata", "page_byline", "url_path", "filename", "manual"]), ("retrieved_from", ["s3_archive", "live_site", "wayback"]),
+        ("status", ["ok", "empty", "ocr", "ocr_low_confidence", "failed", "skipped"]), ("method", ["pdftotext", "tesseract", "textract", "html_extract", "plain"]),
+    ],
+)
+def test_every_value_of_an_enumeration(spark, field, values):
+    whole = {"content_type": "content_type", "retrieved_from": "provenance.retrieved_from", "status": "extraction.status", "method": "extraction.method"}.get(field, field)
+    data = []
+    for n, v in enumerate([*values, "metadata", "unknown", None]):
+        r = record(id=f"s-{n:012x}", text_sha256="a" * 64, extraction={"status": "ok"})
+        if "." in whole:
+            part = whole.split(".")[0]
+            r[part] = r[part] | {field: v}
+        else:
+            r[field] = v
+        data.append(r)
+    got = {(r["id"], r["rule"]) for r in R.violations(spark.createDataFrame(data, schemas.RECORD)).collect()}
+    n = len(values)
+    want = {(f"s-{i:012x}", f"enum:{whole}") for i in (n, n + 1)}
+    assert got == want | ({(f"s-{n + 2:012x}", "required:content_type")} if field == "content_type" else set())
+
+
+def test_duplicates_that_dangle(spark):
+    data = [record(id=i, duplicate_of=d, text_sha256=h, capture_date=f"2026-01-0{t}T00:00:00Z") for i, d, h, t in [("a", None, "x", 1), ("b", "a", "x", 2), ("c", "a", "y", 2), ("d", "d", "x", 1), ("e", "b", "x", 1), ("f", "none", "x", 1)]]
+    assert [r[0] for r in rows(R.dangling_duplicates(spark.createDataFrame(data, schemas.RECORD)))] == ["c", "d", "e", "f"]
+
+
+def test_display_text(spark):
+    data = [(1, "a\n \n \nb"), (2, "a\n\n\n\nb\xa0\tc "), (3, None), (4, ""), (5, "e\u0301")]
+    got = {r["id"]: r["display_text"] for r in R.displayed(spark.createDataFrame(data, "id int, body_text string")).collect()}
+    assert got == {1: "a\n\n\nb", 2: "a\n\nb c", 3: None, 4: "", 5: "\xe9"}
+
+
+def test_with_ledger(spark):
+    h = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", "y"), ("d", None)], "id string, text_sha256 string")
+    seen = spark.createDataFrame([("x", "r1", 3), ("z", "r2", 1)], "text_sha256 string, record_id string, keys bigint")
+    assert rows(R.with_ledger(h, seen)) == [("a", "x", "r1", 3), ("b", "x", "r1", 3), ("c", "y", None, 0), ("d", None, None, 0)]

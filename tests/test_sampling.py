@@ -66,5 +66,30 @@ def test_counts_by_level(spark):
 
 
 def test_measure_reports_missing_tools(spark):
-    f = spark.createDataFrame([("b", "k", 3, bytearray(b"abc"))], "bucket string, key string, size bigint, content binary")
-    assert P.measure(f, info="no-such-tool").first()["failure"] == "download_failed"
+    f = spark.createDataFrame([("b", "k", 3)], "bucket string, key string, size bigint")
+    assert P.measure(f, lambda b, k: b"abc", info="no-such-tool").first()["failure"] == "download_failed"
+
+
+def test_measure_file_by_file(spark, tmp_path):
+    info, text = tmp_path / "info", tmp_path / "text"
+    info.write_text("#!/bin/sh\nx=$(cat)\ncase $x in bad*) echo broken >&2; exit 1;; lock*) echo 'needs a password' >&2; exit 1;; slow*) sleep 9;; none*) echo 'Title: x';; *) printf 'Producer:  Maker %0100d\nPages:   40\n' 1;; esac\n")
+    text.write_text("#!/bin/sh\ncat | tr -d 'x'\n")
+    for tool in (info, text):
+        tool.chmod(0o755)
+
+    def fetch(bucket, key):
+        if key == "gone":
+            raise KeyError(key)
+        return f"{key} a b".encode()
+
+    f = spark.createDataFrame([("b", k, s) for k, s in [("good", 3), ("bad", 3), ("lock", 3), ("slow", 3), ("none", 3), ("gone", 3), ("big", 300_000_000), ("nosize", None)]], "bucket string, key string, size bigint")
+    got = {r["key"]: r for r in P.measure(f, fetch, str(info), str(text), info_seconds=2, tasks=3).collect()}
+    assert {k: r["failure"] for k, r in got.items()} == {"good": None, "bad": "corrupt", "lock": "encrypted", "slow": "timeout", "none": None, "gone": "download_failed", "big": None, "nosize": None}
+    assert (got["good"]["pages"], got["good"]["chars_scanned"], got["good"]["chars_per_page"]) == (40, 6, 0.2) and len(got["good"]["producer"]) == 80
+    assert got["none"]["pages"] == 0 and got["big"]["pages"] is None
+
+
+def test_failures_and_producers(spark):
+    r = spark.createDataFrame([("b", "1", "corrupt", None), ("b", "2", "text_layer", "X"), ("b", "3", "timeout", ""), ("b", "4", "needs_ocr", "X"), ("b", "5", "needs_ocr", "A" * 90)], "bucket string, key string, verdict string, producer string")
+    assert [x[1] for x in rows(P.failed(r))] == ["1", "3"]
+    assert [tuple(x) for x in P.top_producers(r).collect()] == [("X", 2), ("A" * 80, 1)]
