@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from holdfast.operators.rows import balanced
+
 #: Bytes of a batch that are turned into Python objects at once.
 SLICE_BYTES = 4 << 20
 
@@ -21,7 +23,10 @@ def slices(batch: pa.RecordBatch, limit: int = SLICE_BYTES) -> Iterator[pa.Recor
 
 
 def map_columns(df: DataFrame, func: Callable[..., Iterable[tuple]], schema: str) -> DataFrame:
-    """``func(*columns as lists)`` yields output tuples; it is called for slices of bounded bytes of each Arrow batch."""
+    """``func(*columns as lists)`` yields output tuples; it is called for slices of bounded bytes of each Arrow batch.
+
+    A plain scan in fewer partitions than there are cores is spread over them first.
+    """
     from pyspark.sql.types import _parse_datatype_string
 
     kind: StructType = _parse_datatype_string(schema)  # type: ignore[assignment]
@@ -36,4 +41,4 @@ def map_columns(df: DataFrame, func: Callable[..., Iterable[tuple]], schema: str
                         [pa.array(list(col), type=f.type) for col, f in zip(zip(*rows), arrow)], schema=arrow
                     )
 
-    return df.mapInArrow(run, kind)
+    return balanced(df).mapInArrow(run, kind)
