@@ -1,26 +1,30 @@
 """Noise in text from scanned pages (problem 3).
 
-A frequency lexicon of the whole corpus, with word-pair counts, is made first. Scanned texts are told
-by their lines (hard-wrapped running text). Each misread word looks up repair candidates in a
-symmetric-delete index of the lexicon: letters are deleted from both sides, and a pair of letters that
-scanners read as one is deleted together. Candidates are weighed by an edit distance in which confused
-pairs are cheap; the context's word-pair counts decide between close ones. Lines are labelled
+Scanned texts are told by their lines (hard-wrapped running text) and the hints of their extraction. One pass over
+the corpus counts its words, and pairs of them where they are needed, and notes each distinct word of a scanned
+text. These are joined to a symmetric-delete index of the frequency lexicon: letters are deleted from both sides,
+and a pair of letters that scanners read as one is deleted together. Candidates are weighed by an edit distance in
+which confused pairs are cheap; the context's word-pair counts decide between close ones. Lines are labelled
 (``hyphen``, ``misread``, ``header``, ``page_no``), and the text is repaired into paragraphs.
+
+Counts, index and candidates are tables, joined by exchange. Only the repairs found, some for each misread word,
+are broadcast where they are few; of more each record gets its own by a join.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from holdfast.llm.batches import map_columns
-from holdfast.storage import written
+from holdfast.operators.rows import join_counted
+from holdfast.storage import small_enough, written
 
 # What scanners read, and the letters that stood there.
 CONFUSIONS = (
@@ -40,7 +44,10 @@ _PAGE = re.compile(r"[\s\f]*(?:[-–—(\[]\s*)?(?:(?:page|pg\.?|p\.?|seite|pagi
 _NUMBERED = re.compile(r"[\s\f]*(?:(\d{1,4}|[ivxl]{1,7})\s{2,}(\S.*?)|(\S.*?)\s{2,}(\d{1,4}|[ivxl]{1,7}))[\s\f]*")
 _SMALL = frozenset("a an and at by de der des die du en et for from in la le les near of on or the to und von with y".split())
 
-SCHEMA = "record_id string, scanned boolean, lines array<struct<line_no:int,defect:string>>, repaired string"
+SCHEMA = (
+    "record_id string, scanned boolean, lines array<struct<line_no:int,defect:string>>, repaired string, "
+    "choices array<struct<mark:string,options:array<struct<text:string,n:bigint,before:bigint,after:bigint>>>>"
+)
 
 
 def _pair(a: int, b: int) -> int:
@@ -57,101 +64,238 @@ class _Ids(dict):
         return h
 
 
-def word_counts(records: DataFrame, text_col: str = "body_text") -> DataFrame:
-    """``(word, pair, n)`` over all texts: lower-cased words (``pair`` NULL), and pairs of neighbours by hash (``word`` NULL)."""
+def _hinted(records: DataFrame) -> Column:
+    """Whether a record's extraction says that it was read from a scan; false where there is no such column."""
+    try:
+        fields = set(records.schema["extraction"].dataType.names)
+    except (KeyError, AttributeError):
+        return F.lit(False)
+    hint = F.lit(False)
+    if "method" in fields:
+        hint = hint | F.coalesce(F.col("extraction.method").isin("tesseract", "textract"), F.lit(False))
+    return hint | F.col("extraction.ocr_confidence").isNotNull() if "ocr_confidence" in fields else hint
+
+
+def _texts(records: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(record_id, text, hinted)`` of texts that aren't empty."""
+    return records.select(F.col(id_col).cast("string").alias("record_id"), F.col(text_col).alias("text"), _hinted(records).alias("hinted")).where("length(text) > 0")
 
-    def run(texts):
-        ids = _Ids()
+
+def corpus_words(texts: DataFrame, pairs: bool = True) -> DataFrame:
+    """``(kind, word, pair, n)`` of :func:`_texts`: lower-cased ``word``s and their numbers, ``pair``s of neighbours by hash, and
+    the words of scanned texts that are ``asked`` for repairs or ``counted``. Combined map-side."""
+
+    def run(ids, bodies, hints):
+        known = _Ids()
         words: Counter = Counter()
-        pairs = []
-        for t in texts:
+        both = []
+        asking = _Asking()
+        for i, t, hinted in zip(ids, bodies, hints):
             found = WORD.findall(t.lower())
             words.update(found)
-            h = np.fromiter((ids[w] for w in found), np.uint64, len(found))
-            if len(h) > 1:
-                pairs.append(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])
-        yield from ((w, None, n) for w, n in words.items())
-        if pairs:
-            keys, n = np.unique(np.concatenate(pairs), return_counts=True)
-            yield from zip([None] * len(keys), keys.view(np.int64).tolist(), n.tolist())
+            if pairs and len(found) > 1:
+                h = np.fromiter((known[w] for w in found), np.uint64, len(found))
+                both.append(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])
+            if i is not None:
+                label_lines(t, asking, hinted)
+        yield from (("word", w, None, n) for w, n in words.items())
+        if both:
+            keys, n = np.unique(np.concatenate(both), return_counts=True)
+            yield from zip(["pair"] * len(keys), [None] * len(keys), keys.view(np.int64).tolist(), n.tolist())
+        yield from (("asked", w, None, 1) for w in asking.asked)
+        yield from (("counted", w, None, 1) for w in asking.counted)
+
+    return map_columns(texts, run, "kind string, word string, pair bigint, n bigint").groupBy("kind", "word", "pair").agg(F.sum("n").alias("n"))
+
+
+def _deletes(word: str, doubles: set[str]) -> Iterator[str]:
+    yield word
+    for i in range(len(word)):
+        yield word[:i] + "\0" + word[i + 1 :]
+        if word[i : i + 2] in doubles:
+            yield word[:i] + "\0" + word[i + 2 :]
+
+
+def _is_plain(word: str) -> bool:
+    return word.isalpha() or WORD.fullmatch(word) is not None
+
+
+def _floor(word: str, own: int, least: int) -> int:
+    """How often a repair must stand in the corpus: a reading of letters only must be far rarer than it, the more so the shorter it is."""
+    return max(20, own * (25 if len(word) > 4 else 60 if len(word) > 3 else 150)) if _is_plain(word) else max(least, own * 5)
+
 
-    texts = records.select(F.col(text_col).alias("t")).where("length(t) > 0")
-    return map_columns(texts, run, "word string, pair bigint, n bigint").groupBy("word", "pair").agg(F.sum("n").alias("n"))
+def _spots(word: str) -> Iterator[str]:
+    """The word, and where it may be misread in more than one place, the word with one kind of misreading undone throughout."""
+    yield word
+    plain = _is_plain(word)
+    if not plain and sum(not c.isalpha() for c in word) > 1 or plain and len(word) > 8:
+        for a, b in CONFUSIONS:
+            if a in word and (word.count(a) > 1 or not a.isalpha()):
+                yield word.replace(a, b)
 
 
-class Lexicon:
-    """Frequent words and word pairs of the corpus with the delete index over them.
+def _is_near(word: str, weight: float) -> bool:
+    return weight <= (0.6 if len(word) < 7 else 0.75)
 
-    Bounded whatever the corpus: a word holds at least one of ``max_words`` words running, a pair one
-    of ``max_pairs``, so there are no more of either than that.
+
+def _key(delete: str) -> int:
+    """A delete's 64-bit hash, signed."""
+    h = xxhash.xxh64_intdigest(delete)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def found_repairs(corpus: DataFrame, least: int = 4) -> DataFrame:
+    """``(word, own, found)`` of the words of scanned texts that have repairs or are counted: how often a word itself stands in the
+    corpus, and its possible repairs ``(weight, word, n)``, best first.
+
+    ``corpus`` is a written table of :func:`corpus_words`. The lexicon is all words that occur ``least`` times, whatever the
+    corpus's size. The index is joined by the hashes of deletes, each of which few words share.
     """
+    words = corpus.where("kind = 'word'").select("word", "n")
+    most = words.agg(F.coalesce(F.max("n"), F.lit(0)).alias("most"))  # one row
+    own = F.coalesce("n", F.lit(0))
+    asked = corpus.where("kind = 'asked'").select("word").join(words, "word", "left").select("word", own.alias("own")).join(F.broadcast(most)).where("own * 25 <= most")
+
+    def spread(these, numbers):
+        for w, n in zip(these, numbers):
+            floor = _floor(w, n, least)
+            for d in {d for x in _spots(w) for d in _deletes(x, _DOUBLE)}:
+                yield _key(d), w, n, floor
+
+    def index(these, numbers):
+        for w, n in zip(these, numbers):
+            for d in set(_deletes(w, _DOUBLE_TRUE)):
+                yield _key(d), w, n
+
+    def weighed(seen, owns, true, numbers):
+        for a, o, b, n in zip(seen, owns, true, numbers):
+            weight = Lexicon.distance(a, b)
+            if _is_near(a, weight):
+                yield a, o, weight, b, n
+
+    left = map_columns(asked.select("word", "own"), spread, "d bigint, seen string, own bigint, floor bigint")
+    right = map_columns(words.where(F.col("n") >= least).where(F.length("word").between(2, 24)), index, "d bigint, word string, n bigint")
+    met = left.join(right, "d").where("n >= floor AND word <> seen").select("seen", "own", "word", "n").distinct()
+    near = map_columns(met, weighed, "seen string, own bigint, weight double, word string, n bigint")
+    # a word's repairs are as few as the words a letter away
+    best = near.groupBy("seen").agg(F.max("own").alias("own"), F.array_sort(F.collect_list(F.struct("weight", (-F.col("n")).alias("less"), "word"))).alias("f"))
+    repairs = best.select(F.col("seen").alias("word"), "own", F.transform("f", lambda x: F.struct(x["weight"].alias("weight"), x["word"].alias("word"), (-x["less"]).alias("n"))).alias("found"))
+    counted = corpus.where("kind = 'counted'").select("word").join(words, "word").select("word", F.col("n").alias("own"))
+    return counted.join(repairs.withColumnRenamed("own", "o"), "word", "full").select("word", F.coalesce("own", "o").alias("own"), F.coalesce("found", F.array().cast("array<struct<weight:double,word:string,n:bigint>>")).alias("found"))
+
+
+class _Repairs:
+    """Looks up misread words: ``words`` has how often words stand in the corpus, ``candidates`` their possible repairs."""
+
+    words: dict[str, int]
+    least: int
+    _sound: set[str]
+
+    def candidates(self, word: str) -> list[tuple[float, str, int]]:
+        """``(weight, repair, how often that stands in the corpus)`` for a lower-case word, best first; none for one that is well known."""
+        raise NotImplementedError
+
+    def choose(self, options: list[tuple[str, str, int]], before: str, after: str) -> str:
+        """One of ``(text, word, n)`` by its context."""
+        return max(options, key=lambda o: o[2])[0]
+
+    def also(self, first: str, last: str) -> None:
+        """Called with halves of a word that may be joined without a bracket before them."""
+
+    def repair(self, word: str, before: str = "", after: str = "") -> str | None:
+        """The repair of a misread word, or None where it is sound or nothing fits."""
+        found = self.candidates(word.lower())
+        if not found:
+            return None
+        options = [(_cased(c, word), c, n) for x, c, n in found if x <= found[0][0] + 0.2]
+        return options[0][0] if len(options) == 1 else self.choose(options, before.lower(), after.lower())
+
+
+def _cased(repair: str, word: str) -> str:
+    return repair.upper() if len(word) > 1 and word.isupper() else repair[:1].upper() + repair[1:] if word[:1].isupper() else repair
+
+
+class _Asking(_Repairs):
+    """Finds nothing, and notes what is looked for."""
 
-    def __init__(self, words: dict[str, int], pairs: dict[int, int] | None = None, least: int = 3):
+    least = 1
+
+    def __init__(self):
+        self.asked: set[str] = set()
+        self.counted: set[str] = set()
+        self._sound = set()
+        self.words = self  # type: ignore[assignment]
+
+    def get(self, word: str, other: int = 0) -> int:
+        self.counted.add(word)
+        return 0
+
+    def candidates(self, word: str) -> list[tuple[float, str, int]]:
+        if word:
+            self.asked.add(word)
+        return []
+
+    def also(self, first: str, last: str) -> None:
+        for x in (first + last, f"{first}-{last}"):
+            self.get(x.lower())
+            self.repair(x)
+        for x in (first.split("-")[-1], last.split("-")[0]):
+            self.get(x.lower())
+
+
+class Facts(_Repairs):
+    """What :func:`found_repairs` found, for some words. Where the context must decide, the text gets a mark and the options are noted."""
+
+    def __init__(self, rows: Iterable[tuple[str, int, list]], least: int = 4):
+        self.words, self.found, self.least = {}, {}, least
+        for word, own, found in rows:
+            self.words[word] = own
+            if found:
+                self.found[word] = [(f["weight"], f["word"], f["n"]) for f in found]
+        self._sound, self._ids = set(), _Ids()
+        self.choices: list[dict] = []
+
+    def candidates(self, word: str) -> list[tuple[float, str, int]]:
+        return self.found.get(word, [])
+
+    def choose(self, options: list[tuple[str, str, int]], before: str, after: str) -> str:
+        if not before and not after:
+            return super().choose(options, before, after)
+        ids, signed = self._ids, lambda h: h - (1 << 64) if h >> 63 else h
+        mark = f"\ue020{len(self.choices)}\ue021"
+        rows = [{"text": t, "n": n, "before": signed(_pair(ids[before], ids[c])), "after": signed(_pair(ids[c], ids[after]))} for t, c, n in options]
+        self.choices.append({"mark": mark, "options": rows})
+        return mark
+
+
+class Lexicon(_Repairs):
+    """A lexicon in memory with its delete index, for small fixtures; :func:`found_repairs` gives the same candidates."""
+
+    def __init__(self, words: dict[str, int], pairs: dict[int, int] | None = None, least: int = 4):
         self.words, self.pairs, self.least = words, pairs or {}, least
-        self._index: dict[str, list[str]] | None = None
-        self._known: dict[str, list[tuple[float, str]]] = {}
-        self._sound: set[str] = set()
+        self.index: dict[str, list[str]] = defaultdict(list)
+        for w, n in words.items():
+            if n >= least and 2 <= len(w) <= 24:
+                for d in _deletes(w, _DOUBLE_TRUE):
+                    self.index[d].append(w)
+        self._sound, self._ids = set(), _Ids()
         self._most = max(words.values(), default=0)
 
-    @classmethod
-    def of(cls, counts: DataFrame, max_words: int = 100_000, max_pairs: int = 500_000, least: int = 4) -> Lexicon:
-        """From a written table of :func:`word_counts`; a word must also occur ``least`` times."""
-        total = counts.where("word IS NOT NULL").agg(F.sum("n")).first()[0] or 0
-        keep = counts.where(
-            (F.col("word").isNotNull() & (F.col("n") >= max(least, total // max_words)))
-            | (F.col("pair").isNotNull() & (F.col("n") >= max(least, total // max_pairs)))
-        ).toPandas()
-        w, p = keep[keep.word.notna()], keep[keep.word.isna()]
-        return cls(dict(zip(w.word, w.n.astype(int))), dict(zip((p.pair.astype("int64").to_numpy().view("uint64")).tolist(), p.n.astype(int))), least)
-
-    @staticmethod
-    def _deletes(word: str, doubles: set[str]) -> Iterator[str]:
-        yield word
-        for i in range(len(word)):
-            yield word[:i] + "\0" + word[i + 1 :]
-            if word[i : i + 2] in doubles:
-                yield word[:i] + "\0" + word[i + 2 :]
-
-    def index(self) -> dict[str, list[str]]:
-        if self._index is None:
-            self._index = defaultdict(list)
-            for w in self.words:
-                if 2 <= len(w) <= 24:
-                    for d in self._deletes(w, _DOUBLE_TRUE):
-                        self._index[d].append(w)
-        return self._index
-
-    def candidates(self, word: str) -> list[tuple[float, str]]:
-        """``(weight, repair)`` for a lower-case word, best first; none for one that is well known."""
-        got = self._known.get(word)
-        if got is None:
-            if len(self._known) > 300_000:
-                self._known.clear()
-            got = self._known[word] = self._find(word)
-        return got
-
-    def _find(self, word: str) -> list[tuple[float, str]]:
+    def candidates(self, word: str) -> list[tuple[float, str, int]]:
         own = self.words.get(word, 0)
         if own * 25 > self._most:
             return []
-        plain = word.isalpha() or WORD.fullmatch(word) is not None
-        # a reading of letters only must be far rarer than its repair, the more so the shorter it is
-        floor = max(20, own * (25 if len(word) > 4 else 60 if len(word) > 3 else 150)) if plain else max(self.least, own * 5)
-        index, out = self.index(), {}
-        spots = [word]
-        if not plain and sum(not c.isalpha() for c in word) > 1 or plain and len(word) > 8:
-            # more than one misreading: undo one kind throughout, then look up the rest
-            for a, b in CONFUSIONS:
-                if a in word and (word.count(a) > 1 or not a.isalpha()):
-                    spots.append(word.replace(a, b))
-        for s in spots:
-            for d in self._deletes(s, _DOUBLE):
-                for c in index.get(d, ()):
-                    if c not in out and c != word and self.words[c] >= floor:
-                        weight = self.distance(word, c)
-                        if weight <= (0.6 if len(word) < 7 else 0.75):
-                            out[c] = weight
-        return sorted(((x, c) for c, x in out.items()), key=lambda v: (v[0], -self.words[v[1]]))
+        floor, out = _floor(word, own, self.least), {}
+        for d in {d for x in _spots(word) for d in _deletes(x, _DOUBLE)}:
+            for c in self.index.get(d, ()):
+                if c not in out and c != word and self.words[c] >= floor:
+                    out[c] = self.distance(word, c)
+        return sorted(((x, c, self.words[c]) for c, x in out.items() if _is_near(word, x)), key=lambda v: (v[0], -v[2], v[1]))
+
+    def choose(self, options: list[tuple[str, str, int]], before: str, after: str) -> str:
+        ids = self._ids
+        return max(options, key=lambda o: (self.pairs.get(_pair(ids[before], ids[o[1]]), 0) + self.pairs.get(_pair(ids[o[1]], ids[after]), 0), o[2]))[0]
 
     @staticmethod
     def distance(seen: str, true: str) -> float:
@@ -190,32 +334,12 @@ class Lexicon:
                 d[i][j] = best
         return d[rows][cols]
 
-    def repair(self, word: str, before: str = "", after: str = "") -> str | None:
-        """The repair of a misread word, or None where it is sound or nothing fits."""
-        low = word.lower()
-        found = self.candidates(low)
-        if not found:
-            return None
-        close = [c for x, c in found if x <= found[0][0] + 0.2]
-        if len(close) > 1 and self.pairs:
-            ids = _Ids()
-
-            def context(c: str) -> tuple[int, int]:
-                return (
-                    self.pairs.get(_pair(ids[before.lower()], ids[c]), 0) + self.pairs.get(_pair(ids[c], ids[after.lower()]), 0),
-                    self.words[c],
-                )
 
-            best = max(close, key=context)
-        else:
-            best = close[0]
-        return best.upper() if len(word) > 1 and word.isupper() else best[:1].upper() + best[1:] if word[:1].isupper() else best
-
-
-def looks_scanned(lines: list[str]) -> bool:
-    """Hard-wrapped running text: no long lines, and most lines break off within a sentence."""
+def looks_scanned(lines: list[str], hinted: bool = False) -> bool:
+    """Hard-wrapped running text: few long lines, and most lines break off within a sentence. Where the extraction hints at
+    a scan twice as many lines may be long."""
     full = [x for x in lines if x.strip()]
-    if len(full) < 3 or max(map(len, full)) > 100:
+    if len(full) < 3 or sum(len(x) > 100 for x in full) > (0.1 if hinted else 0.05) * len(full):
         return False
     runs = [(a.rstrip(), b) for a, b in zip(lines, lines[1:]) if len(a.strip()) > 20 and b.strip()]
     mid = sum(a[-1] not in ".!?:;|>}" or bool(re.search(r"\b(?:Dr|Mr|Ms|St)\.$", a)) for a, b in runs)
@@ -246,10 +370,10 @@ def _title_like(line: str) -> bool:
     return bool(big) and words[0][:1].upper() == words[0][:1] and upper >= 0.5 * len(big)
 
 
-def label_lines(text: str, lex: Lexicon) -> tuple[list[tuple[int, str]], str] | None:
+def label_lines(text: str, lex: _Repairs, hinted: bool = False) -> tuple[list[tuple[int, str]], str] | None:
     """Defects as ``(line number from 1, kind)`` and the repaired text; None where the text isn't scanned."""
     lines = text.split("\n")
-    if not looks_scanned(lines):
+    if not looks_scanned(lines, hinted):
         return None
     n = len(lines)
     page = [bool(x.strip() and _PAGE.fullmatch(x)) for x in lines]
@@ -268,8 +392,9 @@ def label_lines(text: str, lex: Lexicon) -> tuple[list[tuple[int, str]], str] |
         cuts = i == 0 or lines[i - 1].strip() != "" and lines[i - 1].rstrip()[-1:] not in ".!?"
         if _title_like(body) and (
             m or "\f" in line or often[skeletons[i]] > 1 and (near_page or cuts or i == 0 or i + 1 < n and lines[i + 1].strip()) or near_page and (i + 1 < n and lines[i + 1].strip() or i == n - 1)
-        ) or often[skeletons[i]] > 1 and body.strip().lower().startswith("printed copy of "):
+        ):
             known.add(skeletons[i])
+    _by_position(skeletons, page, often, known)
     for i, s in enumerate(skeletons):
         if s and s in known:
             kind[i] = "header"
@@ -311,11 +436,30 @@ def label_lines(text: str, lex: Lexicon) -> tuple[list[tuple[int, str]], str] |
     return sorted(defects), "\n\n".join(" ".join(p) for p in paragraphs if p)
 
 
+def _by_position(skeletons: list[str], page: list[bool], often: Counter, known: set[str]) -> None:
+    """Adds to ``known`` the recurring lines, begun by a letter, that stand at a break of pages wherever they stand: beside a page number, a known
+    header, or the text's beginning or end, blank lines aside."""
+    full = [i for i, s in enumerate(skeletons) if s or page[i]]
+    todo = {s for s, n in often.items() if n > 1 and len(s) > 3 and s[0].isalpha()} - known
+    while todo:
+        breaks = {-1, len(full)} | {k for k, i in enumerate(full) if page[i] or skeletons[i] in known}
+        at: dict[str, bool] = {}
+        for k, i in enumerate(full):
+            s = skeletons[i]
+            if s in todo:
+                at[s] = at.get(s, True) and (k - 1 in breaks or k + 1 in breaks)
+        new = {s for s, ok in at.items() if ok}
+        if not new:
+            return
+        known |= new
+        todo -= new
+
+
 _CORE = re.compile(r"^([\"'“”‘’(\[]*)(.*?)([\"'“”‘’)\].,;:!?]*)$", re.S)
 _NOT_WORDS = re.compile(r"^(?:\d+(?:st|nd|rd|th|s)?|[\d.,/:$%€£+()-]+|.*(?:[@/\\_=<>{}#*]|www|\w\.\w).*|[A-Z]{1,3}-?\d{2,}.*|[A-Z]{1,3}-?\d|\d+[a-zA-Z]?|[a-zA-Z])$")
 
 
-def _fix(token: str, before: str, after: str, lex: Lexicon) -> str | None:
+def _fix(token: str, before: str, after: str, lex: _Repairs) -> str | None:
     """The repaired token, or None where it is sound. Whether it is sound doesn't depend on the context."""
     if token in lex._sound:
         return None
@@ -327,7 +471,7 @@ def _fix(token: str, before: str, after: str, lex: Lexicon) -> str | None:
     return fixed
 
 
-def _look(token: str, before: str, after: str, lex: Lexicon) -> str | None:
+def _look(token: str, before: str, after: str, lex: _Repairs) -> str | None:
     pre, core, post = _CORE.match(token).groups()
     options = [(pre, core, post)]
     if pre[-1:] == "(" and ")" not in post:
@@ -351,9 +495,11 @@ def _look(token: str, before: str, after: str, lex: Lexicon) -> str | None:
     return None
 
 
-def _join(head: str, sign: str, tail: str, lex: Lexicon) -> tuple[bool, str, list[int]]:
+def _join(head: str, sign: str, tail: str, lex: _Repairs) -> tuple[bool, str, list[int]]:
     """Whether a word was broken here, the word made whole, and which of its halves (0, 1) are misread."""
     pre, first, _ = _CORE.match(head).groups()
+    if pre[-1:] == "(" or tail[:1] == "(":
+        lex.also(first, _CORE.match(tail)[2])
     if pre[-1:] == "(" and lex.words.get((first + _CORE.match(tail)[2]).lower(), 0) == 0:
         pre, first = pre[:-1], "(" + first
     _, last, post = _CORE.match(tail).groups()
@@ -384,31 +530,70 @@ def _halves(seen: str, true: str, cut: int) -> list[int]:
     return [0] if left < cut else [1]
 
 
-def repair_scans(records: DataFrame, id_col: str = "id", text_col: str = "body_text", lexicon: Lexicon | None = None) -> DataFrame:
+def repair_scans(records: DataFrame, id_col: str = "id", text_col: str = "body_text", repaired: bool = True, max_broadcast_rows: int = 200_000, least: int = 4) -> DataFrame:
     """``(record_id, scanned, lines, repaired)``, a row for each record that may be scanned.
 
-    Texts with a line over 100 characters can't be and are left out, as are rows without id and NULL
-    or empty texts. The lexicon comes from all records unless one is given.
+    Rows without id and NULL or empty texts are left out, as are texts more than a tenth of whose lines have over 100
+    characters. The lexicon comes from all records; ``extraction``, where there is such a column, only hints at scans. Without ``repaired`` that
+    column may hold marks where the context would have to decide, and word pairs aren't counted.
     """
-    spark = records.sparkSession
-    if lexicon is None:
-        lexicon = Lexicon.of(written(word_counts(records, text_col), "words"))
-    shared = spark.sparkContext.broadcast((lexicon.words, lexicon.pairs, lexicon.least))
+    texts = _texts(records, id_col, text_col)
+    corpus = written(corpus_words(texts, repaired), "words")
+    facts = written(found_repairs(corpus, least), "repairs")
+    lines = F.split("text", "\n")
+    short = F.size(F.filter(lines, lambda x: F.length(x) > 100)) <= 0.1 * F.size(lines)
+    rows = texts.where(F.col("record_id").isNotNull() & short)
     held: dict = {}
-
-    def run(ids, texts):
-        if "lex" not in held:
-            held["lex"] = Lexicon(*shared.value)
-        for i, t in zip(ids, texts):
-            got = label_lines(t, held["lex"])
-            yield (i, False, [], t) if got is None else (i, True, [{"line_no": a, "defect": b} for a, b in got[0]], got[1])
-
-    rows = records.select(F.col(id_col).cast("string").alias("record_id"), F.col(text_col).alias("text"))
-    rows = rows.where(F.col("record_id").isNotNull() & (F.length("text") > 0) & ~F.col("text").rlike(r"[^\n]{101}"))
-    return map_columns(rows, run, SCHEMA)
+    few = small_enough(facts, max_broadcast_rows)
+    shared = records.sparkSession.sparkContext.broadcast([(r["word"], r["own"], [f.asDict() for f in r["found"]]) for r in facts.collect()] if few else None)
+
+    def run(ids, bodies, hints, own=None):
+        if few and "lex" not in held:
+            held["lex"] = Facts(shared.value, least)
+        for n, (i, t, hinted) in enumerate(zip(ids, bodies, hints)):
+            lex = held["lex"] if few else Facts([(x["word"], x["own"], x["found"]) for x in own[n] or ()], least)
+            lex.choices = []
+            got = label_lines(t, lex, hinted)
+            yield (i, False, [], t, []) if got is None else (i, True, [{"line_no": a, "defect": b} for a, b in got[0]], got[1], lex.choices)
+
+    if not few:
+        rows = rows.join(_own_facts(rows, facts, max_broadcast_rows), "record_id", "left")
+    labelled = map_columns(rows, run, SCHEMA)
+    if not repaired:
+        return labelled.drop("choices")
+    return _chosen(written(labelled, "labelled"), corpus)
+
+
+def _own_facts(rows: DataFrame, facts: DataFrame, max_broadcast_rows: int) -> DataFrame:
+    """``(record_id, own)``: the facts that each record asks for."""
+
+    def asks(ids, bodies, hints):
+        for i, t, hinted in zip(ids, bodies, hints):
+            asking = _Asking()
+            label_lines(t, asking, hinted)
+            yield i, sorted(asking.asked | asking.counted)
+
+    each = map_columns(rows, asks, "record_id string, words array<string>").select("record_id", F.explode("words").alias("word")).distinct()
+    # a word stands in no more records than its number says
+    met = join_counted(each, facts, "word", "own", max_broadcast_rows=max(1, max_broadcast_rows))
+    return met.groupBy("record_id").agg(F.collect_list(F.struct("word", "own", "found")).alias("own"))  # no more than a record's own words
+
+
+def _chosen(labelled: DataFrame, corpus: DataFrame) -> DataFrame:
+    """``labelled``, a written table, with the marks in its texts replaced by the options whose word pairs are most frequent, then by the most frequent words."""
+    key = F.xxhash64("record_id", "repaired").alias("key")
+    each = labelled.where("size(choices) > 0").select(key, F.explode("choices").alias("c")).select("key", "c.mark", F.explode("c.options").alias("o")).select("key", "mark", "o.*").distinct()
+    pairs = corpus.where("kind = 'pair'").select("pair", F.col("n").alias("times"))
+    sides = each.select("key", "mark", "text", "n", F.explode(F.array("before", "after")).alias("pair")).join(pairs, "pair", "left")
+    score = sides.groupBy("key", "mark", "text").agg(F.sum(F.coalesce("times", F.lit(0))).alias("context"), F.max("n").alias("n"))
+    best = score.groupBy("key", "mark").agg(F.max_by("text", F.struct("context", "n", "text")).alias("text"))
+    per = best.groupBy("key").agg(F.collect_list(F.struct("mark", "text")).alias("chosen"))  # a record's own marks
+    text = F.aggregate(F.coalesce("chosen", F.array().cast("array<struct<mark:string,text:string>>")), F.col("repaired"), lambda t, x: F.replace(t, x["mark"], x["text"]))
+    j = labelled.withColumn("key", key).join(per, "key", "left")
+    return j.select("record_id", "scanned", "lines", text.alias("repaired"))
 
 
 def scan_defects(records: DataFrame) -> DataFrame:
     """Distinct ``(record_id, line_no, defect)`` of scanned texts."""
-    found = repair_scans(records).select("record_id", F.explode("lines").alias("l"))
+    found = repair_scans(records, repaired=False).select("record_id", F.explode("lines").alias("l"))
     return found.select("record_id", "l.line_no", "l.defect").distinct()
