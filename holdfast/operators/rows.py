@@ -43,7 +43,7 @@ def one_per_key(df: DataFrame, key: str, newest: str, max_broadcast_rows: int =
     return once.unionByName(best)
 
 
-def join_counted(big: DataFrame, small: DataFrame, key: str, count: str, how: str = "inner", max_broadcast_rows: int = 200_000, hot: int = 20_000) -> DataFrame:
+def join_counted(big: DataFrame, small: DataFrame, key: str | list[str], count: str, how: str = "inner", max_broadcast_rows: int = 200_000, hot: int = 20_000) -> DataFrame:
     """``big`` joined (``inner`` or ``left``) to ``small``, a written table with one row for each ``key`` and the number of rows of ``big``
     that have it in ``count``.
 
@@ -51,12 +51,13 @@ def join_counted(big: DataFrame, small: DataFrame, key: str, count: str, how: st
     are no more than rows of ``big`` / ``hot``, and the others, none of them hot, join by exchange. Where even the
     hot keys are too many to broadcast ``hot`` is raised by tens until they are few.
     """
+    keys = [key] if isinstance(key, str) else key
     if small_enough(small, max_broadcast_rows):
-        return big.join(F.broadcast(small), key, how)
+        return big.join(F.broadcast(small), keys, how)
     crowded = small.where(F.col(count) > hot)
     while not small_enough(crowded, max_broadcast_rows):
         hot *= 10
         crowded = small.where(F.col(count) > hot)
-    return big.join(F.broadcast(crowded), key).unionByName(
-        big.join(F.broadcast(crowded.select(key)), key, "left_anti").join(small.where(F.col(count) <= hot), key, how)
+    return big.join(F.broadcast(crowded), keys).unionByName(
+        big.join(F.broadcast(crowded.select(*keys)), keys, "left_anti").join(small.where(F.col(count) <= hot), keys, how)
     )
