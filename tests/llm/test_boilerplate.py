@@ -55,6 +55,9 @@ def test_blocks_and_cleaning(spark):
     assert [(r["site"], r["lines"], r["records"]) for r in b.blocks().collect()] == [("a", 2, 9)]
     clean = {r["record_id"]: (r["clean_text"], r["removed"]) for r in b.cleaned().collect()}
     assert clean["r00"][1] == 2 and "Share" not in clean["r00"][0] and "seldom line" in clean["r00"][0]
+    other = Boilerplate(spark.createDataFrame(make(), SCHEMA), max_broadcast_rows=0)
+    assert rows(other.cleaned()) == rows(b.cleaned()) and rows(other.blocks()) == rows(b.blocks())
+    assert len({r["block"] for r in b.occurrences().where("site = 'a'").collect()}) == 1
     assert clean["n1"] == ("Share this page", 0) and clean["e"] == (None, 0) and clean["s3"] == ("Common", 0)
 
 
