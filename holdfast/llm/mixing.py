@@ -4,7 +4,7 @@ Temperature mixing: the weights go from the sources' own token shares to the tar
 exponent that is bisected to the largest one whose repetition limits hold for the wanted total, or, without
 targets, to the one whose weights have a wanted entropy. Weights are realised as budgeted block permutations: a source's
 texts are put in the order of a seeded hash, whole passes over them are counted, and the last pass ends at the budget,
-found block by block and then text by text within one block.
+found block by block, then by the blocks of the block that holds it, and text by text within one of these.
 """
 
 from __future__ import annotations
@@ -18,7 +18,8 @@ from pyspark.sql.window import Window
 from holdfast.llm.tokens import VOCABULARY, sized
 from holdfast.storage import written
 
-#: Blocks that a source's hash order is cut into; the boundary block alone is ordered text by text.
+#: Blocks that a source's hash order is cut into; the boundary block is cut into as many again, so that of a billion texts some
+#: thousand are ordered text by text.
 BLOCKS = 1024
 
 
@@ -92,13 +93,27 @@ class Mix:
     no share, the others' targets being raised in proportion. ``plan`` and ``report`` read one written table of sizes.
     """
 
-    def __init__(self, documents: DataFrame, targets: DataFrame, total: float | None = None, seed: int = 0, vocabulary: str = VOCABULARY):
-        self.texts = written(texts_once(documents, targets, vocabulary).withColumn("h", F.xxhash64(F.lit(seed), "doc_id")).withColumn("block", F.pmod(F.shiftrightunsigned("h", 20), F.lit(BLOCKS)).cast("int")), "texts")
+    def __init__(self, documents: DataFrame, targets: DataFrame, total: float | str | None = None, entropy_of_targets: bool = False, seed: int = 0, vocabulary: str = VOCABULARY):
+        """``total`` is a number of tokens, ``"all"`` for as many as the sources hold, or None for the largest at which the weights hold exactly.
+
+        With ``entropy_of_targets`` the weights are the sources' own shares tempered to the targets' entropy instead of the targets.
+        """
+        cut = lambda bits: F.pmod(F.shiftrightunsigned("h", bits), F.lit(BLOCKS)).cast("int")
+        self.texts = written(texts_once(documents, targets, vocabulary).withColumn("h", F.xxhash64(F.lit(seed), "doc_id")).withColumn("block", cut(20)).withColumn("part", cut(40)), "texts")
         # one row for each source that has a target: a given fixed table
         self.targets = {r["source"]: (r["share"], r["repeats"]) for r in targets.where("source IS NOT NULL AND target_share > 0").groupBy("source").agg(F.sum("target_share").alias("share"), F.coalesce(F.min("max_repeats"), F.lit(1)).alias("repeats")).collect()}
         self.blocks = self.texts.groupBy("source", "block").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("texts"))
         self.tokens = {r["source"]: int(r["n"]) for r in self.blocks.groupBy("source").agg(F.sum("tokens").alias("n")).collect()}
-        self.weights, self.exponent, self.total = weights_for(self.tokens, {s: t for s, (t, _) in self.targets.items()}, {s: r for s, (_, r) in self.targets.items()}, total)
+        goals, repeats = {s: t for s, (t, _) in self.targets.items()}, {s: r for s, (_, r) in self.targets.items()}
+        whole = sum(self.tokens.values())
+        wanted = float(whole) if total == "all" else total
+        if entropy_of_targets and whole:
+            shares = {s: n / whole for s, n in self.tokens.items()}
+            self.exponent = exponent_for_entropy(shares, entropy(_normal({s: goals[s] for s in shares})))
+            self.weights = tempered(shares, self.exponent)
+            self.total = wanted if wanted is not None else largest_total(self.tokens, self.weights, repeats)
+        else:
+            self.weights, self.exponent, self.total = weights_for(self.tokens, goals, repeats, wanted)
 
     def budgets(self) -> DataFrame:
         """``(source, passes, budget)``: whole passes over a source's texts and the tokens of the last pass."""
@@ -112,16 +127,26 @@ class Mix:
     def plan(self) -> DataFrame:
         """``(doc_id, source, tokens, uses)`` of every text used at least once, ``uses`` being at most its source's limit."""
         budgets = F.broadcast(self.budgets())  # one row for each source
-        by_block = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-        blocks = self.blocks.withColumn("before", F.coalesce(F.sum("tokens").over(by_block), F.lit(0))).join(budgets, "source")
-        state = blocks.select("source", "block", "passes", "budget", "before", (F.col("before") + F.col("tokens") <= F.col("budget")).alias("whole"), (F.col("before") >= F.col("budget")).alias("none"))
-        rows = self.texts.join(F.broadcast(state), ["source", "block"])  # at most BLOCKS rows for each source
-        easy = rows.where("whole OR none").select("doc_id", "source", "tokens", "passes", "budget", "h", "whole")
-        within = Window.partitionBy("source", "block").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-        edge = rows.where("NOT whole AND NOT none").withColumn("start", F.col("before") + F.coalesce(F.sum("tokens").over(within), F.lit(0)))
+
+        def placed(sums: DataFrame, by: str) -> DataFrame:
+            """Sums in the order of ``by`` within a source: each one's begin, and whether it lies before the budget or after it."""
+            w = Window.partitionBy("source").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+            at = sums.withColumn("begin", F.col("offset") + F.coalesce(F.sum("tokens").over(w), F.lit(0)))
+            return at.select("source", by, "passes", "budget", "begin", (F.col("begin") + F.col("tokens") <= F.col("budget")).alias("whole"), (F.col("begin") >= F.col("budget")).alias("none"))
+
+        def settled(rows: DataFrame) -> DataFrame:
+            return rows.where("whole OR none").select("doc_id", "source", "tokens", "passes", "budget", "h", "whole")
+
+        # at most BLOCKS rows for each source, twice
+        first = self.texts.join(F.broadcast(placed(self.blocks.withColumn("offset", F.lit(0)).join(budgets, "source"), "block")), ["source", "block"])
+        edge = first.where("NOT whole AND NOT none").drop("whole", "none")
+        parts = edge.groupBy("source", "part").agg(F.sum("tokens").alias("tokens"), F.max("begin").alias("offset"), F.max("passes").alias("passes"), F.max("budget").alias("budget"))
+        second = edge.drop("begin", "passes", "budget").join(F.broadcast(placed(parts, "part")), ["source", "part"])
+        within = Window.partitionBy("source", "part").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+        last_part = second.where("NOT whole AND NOT none").withColumn("start", F.col("begin") + F.coalesce(F.sum("tokens").over(within), F.lit(0)))
         # the text at the budget is taken if more than half of it lies before it
-        hard = edge.select("doc_id", "source", "tokens", "passes", "budget", "h", (F.col("start") + F.col("tokens") / 2 < F.col("budget")).alias("whole"))
-        last = easy.union(hard)
+        hard = last_part.select("doc_id", "source", "tokens", "passes", "budget", "h", (F.col("start") + F.col("tokens") / 2 < F.col("budget")).alias("whole"))
+        last = settled(first).union(settled(second)).union(hard)
         # one more text, or none, for what a source still lacks: the one nearest to it in size
         lack = last.groupBy("source").agg((F.max("budget") - F.sum(F.col("tokens") * F.col("whole").cast("int"))).alias("lack"))
         left = last.where("NOT whole").join(F.broadcast(lack), "source").where("lack > 0 AND abs(lack - tokens) < lack")  # one row for each source

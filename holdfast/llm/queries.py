@@ -49,6 +49,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p8_fill": _fill,
         "p9_plan": lambda s, d: mixing.Mix(table(s, d, "documents"), table(s, d, "mix_targets")).plan(),
         "p9_shares": lambda s, d: mixing.Mix(table(s, d, "documents"), table(s, d, "mix_targets")).report(),
+        "p9_whole_plan": lambda s, d: mixing.Mix(table(s, d, "documents"), table(s, d, "mix_targets"), total="all").plan(),
+        "p9_whole_shares": lambda s, d: mixing.Mix(table(s, d, "documents"), table(s, d, "mix_targets"), total="all").report(),
+        "p9_entropy_plan": lambda s, d: mixing.Mix(table(s, d, "documents"), table(s, d, "mix_targets"), entropy_of_targets=True).plan(),
         "p9_temperature": lambda s, d: mixing.temperature_weights(table(s, d, "documents"), table(s, d, "mix_targets")),
         "p10_found": lambda s, d: text_quality.not_prose(table(s, d, "documents"), table(s, d, "common_words")),
         "p10_statistics": lambda s, d: text_quality.quality(table(s, d, "documents"), table(s, d, "common_words")),

@@ -89,5 +89,17 @@ def test_mix(spark):
     big = M.Mix(df, goal, total=1e9)
     assert all(r["uses"] == limit[r["source"]] for r in big.plan().collect())
     assert rows(M.Mix(df.where("false"), goal).plan()) == []
+    # all tokens: limits bind, the exponent is bisected, texts are repeated
+    small_b = spark.createDataFrame([("a", 0.3, 2), ("b", 0.6, 2), ("c", 0.1, 1)], "source string, target_share double, max_repeats int")
+    limit = {"a": 2, "b": 2, "c": 1}
+    whole = M.Mix(df, small_b, total="all")
+    used = whole.plan().collect()
+    assert 0 < whole.exponent < 1 and max(r["uses"] for r in used) > 1 and all(r["uses"] <= limit[r["source"]] for r in used)
+    assert sum(r["tokens"] * r["uses"] for r in used) == pytest.approx(whole.total, rel=0.01)
+    tempered = M.Mix(df, goal, entropy_of_targets=True)
+    got = {r["source"]: r for r in tempered.report().collect()}
+    assert M.entropy(tempered.weights) == pytest.approx(M.entropy({"a": 0.5, "b": 0.3, "c": 0.2}), abs=1e-6)
+    for s, w in tempered.weights.items():
+        assert got[s]["actual_share"] == pytest.approx(w, abs=0.01)
     t = {r["source"]: r for r in M.temperature_weights(df, goal).collect()}
     assert sum(r["weight"] for r in t.values()) == pytest.approx(1)
