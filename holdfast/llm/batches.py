@@ -42,3 +42,11 @@ def map_columns(df: DataFrame, func: Callable[..., Iterable[tuple]], schema: str
                     )
 
     return balanced(df).mapInArrow(run, kind)
+
+
+def common_words(words: DataFrame, most: int = 1_000_000) -> frozenset[str]:
+    """The words of ``(lang, word)``, a given list of a few hundred rows; more than ``most`` raise."""
+    got = words.where("word IS NOT NULL").select("word").distinct().limit(most + 1).collect()
+    if len(got) > most:
+        raise ValueError(f"more than {most} common words")
+    return frozenset(r["word"] for r in got)

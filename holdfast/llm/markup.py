@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from holdfast.llm.batches import map_columns
+from holdfast.llm.batches import common_words, map_columns
 
 LANGUAGES = ("html", "markdown", "wiki", "latex")
 
@@ -339,7 +339,7 @@ def clean_markup(records: DataFrame, words: DataFrame, id_col: str = "id", text_
     ``words`` is the table of common words, ``(lang, word)``; it is a fixed list of a few hundred rows.
     NULL and empty texts give no markup and an empty text. Columns other than id and text are ignored.
     """
-    stop = frozenset(r["word"] for r in words.where("word IS NOT NULL").select("word").distinct().limit(10_000).collect())
+    stop = common_words(words)
 
     def run(ids, texts):
         for i, t in zip(ids, texts):

@@ -2,8 +2,8 @@
 
 Statistics of every document and of each of its lines tell natural prose from lists, tables and junk.
 Gradient-boosted trees are trained on lines weakly labelled by rules that abstain when in doubt, from a
-bounded sample of documents, and calibrated on lines checked by hand. A document's kind is what the
-trees find most of its characters to belong to.
+bounded sample of documents, and calibrated by class on lines checked by hand that aren't trained on. A line's
+kind is the one of the greatest calibrated probability, a document's kind what most of its characters belong to.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from holdfast.llm.batches import map_columns
+from holdfast.llm.batches import common_words, map_columns
 from holdfast.llm.trees import BoostedTrees
 
 KINDS = ("prose", "list", "table", "junk")
@@ -134,7 +134,7 @@ def batch_features(texts: list[str], stop: frozenset[str]) -> tuple[np.ndarray,
     set_("same_cells", same)
     log = np.zeros(n)
     for i in np.flatnonzero((out[:, _ID["digits"]] > 0.08) | (longest > 30)).tolist():
-        log[i] = len(_LOG.findall(lines[i][:400]))
+        log[i] = len(_LOG.findall(lines[i]))
     set_("log", log)
     distinct = np.ones(n)
     for i in np.flatnonzero(words >= 12).tolist():
@@ -232,7 +232,8 @@ def line_features(text: str, stop: frozenset[str]) -> tuple[np.ndarray, list[str
     return x, lines
 
 
-# Texts checked by hand, for calibration: each line of a text is of the kind given.
+# Texts checked by hand, for calibration: each line of a text is of the kind given. The second half are passages of documents of
+# a public test corpus, read and labelled one by one.
 HOLDOUT = (
     ("prose", "The committee met on Tuesday and heard from three of the owners, who said that the road had been closed\nfor most of the winter and that nobody had told them when it would be opened again."),
     ("prose", "Er hat den Brief gestern geschrieben, aber er wurde erst heute mit der Post abgeholt. Die Kinder warten auf eine Antwort."),
@@ -258,6 +259,46 @@ HOLDOUT = (
     ("junk", "hotel cheap hotel flights hotel cheap flights hotel booking cheap cheap hotel flights booking hotel"),
     ("junk", "xqzv brtkl mnpw ghtrs vvkl pqrst zxcv bnmk\nwrtp lkjh gfds qwrt zxcvb mnbv plkm tgbn"),
     ("junk", "=*=*=*=*=*=*=*=*=*=*=*=*=*=\n~~~~~~~~~~~~~~~~~~~~~~~~\nxxxxxxxxxxxxxxxxxxxxxxxxx"),
+    ("prose", 'Les parcelles échangées en 2001 étaient les plus belles de la forêt de Skellholt. Peu avant Noël 1981, la commune de Oskgate écrivait que la forêt de Lorngate ne serait plus touchée. Si la salamandre est de retour, la forêt de Kelsburn le doit surtout à 447 volontaires patients. Les riverains ont écrit à la commune de Oskgate pour demander que la limite soit respectée. Les parcelles échangées en'),
+    ("prose", 'For the record, in February 2012, the hearing officer reviewed the salvage project near Thorndale Flats. In short, the company offered to trade remote plots at Tarnford Basin for 87 acres of flat ground, at least until 1972. Earlier that year, letters to the inspector ran 9 to one against the salvage project, and most mentioned red cedar, as the harvest ledger admits.'),
+    ("prose", 'Old photographs from 2008 show degraded units where today only brush and stumps remain. The map attached to the monitoring report omits 40 miles of temporary road in Lornfork Flats. The trail to Mussmere Ridge crosses 24 streams and passes recently thinned parcels full of yew. According to the field notes, snag density exceeded the model between 1999 and 1987. The older road above Dunwick Creek'),
+    ("prose", 'Ohne das Gutachten aus Ravley lässt sich nicht prüfen, welche Flächen die Gemeinde Yelburn verkauft hat. Es gibt keine Zahlen dazu, wie sich die Eibe nach dem Feuer von 1987 erholt hat. Es gibt keine Zahlen dazu, wie sich die Bachforelle nach dem Feuer von 1986 erholt hat. Seit dem Sturm von 1991 liegen im Oskburner Wald noch immer 275 Stämme quer über dem Weg.'),
+    ("prose", 'Wie der Abschlussbericht zeigt, ist der Bestand seit 2007 um mehr als 358 Bäume kleiner geworden.\nDer Bach wurde an 885 Stellen gemessen, und das Wasser war überall zu warm.\nDie Gemeinde Mussmere und die Eigentümer haben sich auf einen Tausch von 432 Hektar geeinigt.\nNach der Räumung von 827 Hektar im Crowburner Tal war der Luchs nicht mehr zu finden.'),
+    ("prose", 'A short section of the field notes deals with whitebark\npine; the rest is about costs. The estimate of 933 board\nfeet per acre seems high for such privately held\ndrainages, far more than in 2004. Both pine marten and'),
+    ("prose", "Il n'y a plus de trace de la salamandre dans la forêt de\nSkellstead depuis la construction de la route. Si la salamandre\nest de retour, la forêt de Oskley le doit surtout à 665\nvolontaires patients."),
+    ("prose", 'Sin el inventario de Dunstead nadie puede\ncomprobar qué terrenos vendió el municipio\nde Lornfork. Sin el inventario de Vellholt\nnadie puede comprobar qué terrenos vendió'),
+    ("prose", "Les bénévoles ont compté 33 arbres\nanciens le long du ruisseau avant\nla fin de l'été. Finalement 569\nmembres ont voté pour attaquer la"),
+    ("prose", 'Letters to the regional forester ran 68\nto one against the pipeline corridor,\nand most mentioned mountain hemlock. We\nfound that visitor numbers could not be'),
+    ("prose", 'Wer den Hollowmereer Tal kennt, weiß, dass die Eibe dort nur noch\nselten zu sehen ist. Die Anwohner wurden erst 1989 darüber\ninformiert, dass die Straße durch das Gebiet führt. Zwischen 1965\nund 1964 sank der Grundwasserspiegel unter dem Kelsridgeer Moor um'),
+    ("prose", 'El agua de el bosque de Thorngate está\ndemasiado caliente para que los peces\npuedan vivir en ella. Entre 1975 y 2008, el\nnivel del agua bajo el bosque de Thornley'),
+    ("prose", 'Because the 2 April memo relied on\ndata from 1968, its account of\nold-growth cover is out of date.\nEarlier that year, the coalition'),
+    ("list", 'wolverine.\nDunridge Valley, unit 88.\nLorngate Gap, unit 78.\nVellcroft Creek, unit 87.'),
+    ("list", '1. Crowfork Ridge, unit 50\n2. Mussgate Basin, unit 59\n3. copy of the aerial survey\n4. Skellholt'),
+    ("list", '– Oskley Ridge, unit 82\n– copy of the appeal record\n– copy of the 2 April memo\n– Skellgate'),
+    ("list", '* copy of the aerial survey\n* Umbercroft\n* high-elevation meadows\n* Kelsley'),
+    ("list", '(i) Briarwick.\n(ii) Thornwick Flats, unit 79.\n(iii) Skellmere Valley, unit 98.\n(iv) black-backed woodpecker.'),
+    ("list", '1. unlogged slopes\n2. privately held drainages\n3. red cedar\n4. copy of the 2 April memo'),
+    ("list", 'a) Briarwick\nb) Skellgate\nc) spotted bat\nd) Crowwick Gap, unit 48'),
+    ("list", '(i) copy of the aerial survey\n(ii) Thornwick Gap, unit 56\n(iii) copy of the final impact statement\n(iv) unlogged tracts'),
+    ("table", '| unit | temp | year | score | score |\n| Dunmere | no | 92% |  |  |\n| Vellfork |  | 14% | - | yes |\n| Oskfork | n/a | 8% | yes | no |'),
+    ("table", '+---------+\n|unit|share|share|temp|\n+---------+\n|Skellmere|227.68|1180|370.15|'),
+    ("table", 'unit         year         score        year         score        share\nYelstead     108.86       65%          902          1992         331.07\nBriarridge   145.44       10%          1706         2010         162.55\nHollowdale   337.80       26%          6527         1965         390.59'),
+    ("table", 'unit\tacres\tscore\nKelsburn\t2349\t8912\nThornstead\t2460\t3146\nCrowfork\t5081\t5831'),
+    ("table", 'unit,share,class,acres\nSkellgate,2000,187.66,1999\nWashmere,2008,197.99,2003\nThornwick,1997,275.86,1968'),
+    ("table", 'unit;year;acres\nCrowdale;2%;4140\nWashholt;18%;7105\nYelstead;32%;1817'),
+    ("table", 'unit\tclass\tshare\tscore\tscore\nVellfork\t99%\t1991\t50%\t1965\nMussstead\t64%\t2013\t52%\t1987\nDundale\t22%\t1972\t10%\t1967'),
+    ("table", 'unit         temp         temp         acres        score        year\nSkellburn    6274         0%           n/a          yes          374.75\nNorthholt    7057         29%          -                         238.09\nLornley      4073         65%          n/a          yes          389.40'),
+    ("junk", '00000000: 34a6 55dc 28ed 62fd 57b3 c1ba edf2 3b25\n00000010: 8390 9573 99f4 e708 2be6 d915 b44e 25fe\n00000020: c3b2 4f54 97d5 f234 94f0 df85 8a24 ff7b\n00000030: 9ee7 085f 0bd5 00e6 febb ad70 a87e 50e5'),
+    ("junk", 'âx€™�?€q x¤q#âqâ¶#© ™©¤¤â#¤x�™ €™™â¤q© ¤Ã€¶¤€¶� ™¶™ q¤©â™�qx¶ €Ã�q? x¤Ã? x�qx¤�? ¤€€??? ¤¤¤Ã qx#q #©€?â�Ã ¶#��™#â© ¤#™?#Ã¶â© ¶#©€x€Ã âq¶©©�™ Ã™xâ¤x ## €™q€ â€€â¤ ¶™�¤ x#�¶q€q� ¶€Ãâ#Ã€ â€#� ™q#¤¶�â€?q ¤©ââq �?�©©?™ �#¤x#¶¤ ��¤q ?™¤Ã ?™€â#¤¶©# ¶�©© �¤¶¤Ã¤©© x¶?©�â€ Ã€¶™? ?qâÃ¤#?¶ ¤#©?¤©?¶¤ â¶™â¶��x ¶¤¶ ™™€q™¤™? #¤¶©qq ?#© ©€€ÃÃ q# �� x#Ã ™€©?x¶Ãq #�€¶™q# â¤â©¤¤€# â©©ââ ¤�¶™Ã? �qâ¶€?âÃ™ �â¤ ¶€#™'),
+    ("junk", 'q###Ã ¶?™xq��¤ ?#¶™â¶ €�â ¶qâ™ ¤?â q#™ #€x€âx?¶Ã€ �©#™# �q?#™#™� x?qq¶¤q€¤ #©ÃÃ¤ ¤¤â âx âÃ¤x ™�Ã €âqâ �#âx¤q¶ â�€â©â ¶€# qxx€©ÃxÃ€ ™#¶â? x¤™ âÃ?q€©¶¤ ©??Ã#©?# ¤©Ã#�?¤ ��qÃ Ã?â©€xx# q�©¶Ã?Ãâ� ©Ã© â#¤¶â??? ™™x¶ ¤q¶Ã?q€Ã? q€Ã¶�â#™€â ÃÃ™¤?™ €¶™#�? Ãâxâ# ?#?©™¤#©q# ©© q#¤¤ Ã¶xqÃ ©¶�©?€q?© ¤�¤ ?¤ Ãxqx#â©¤ ?#™xx? q© ¤™¶x#x#™q q¤xâqâ#¶qq #x€qÃâ™Ã?� ?â��q€ ��x€#Ã?¶ ¶©Ã¤€¤ #qÃx ¶�x Ã¶€¶q™âq x¶xx #¶�#¶€€#x#'),
+    ("junk", 'JB5XDNb+IICZ3iP06l5TWle1skXLtJc4RkFm59WLXx00bap1UPO3EOn7HwDm4CEv\nQ6BZTIyKMQZCNkXeR7o/d+udG5Vfm7NdbyrBFS5flD6hdRSNw8yJy24Yudv/FxK0\nSIswu1QDCmZi4OVnIpI5cKhoE3z23tBOGpUAXz1RdWhmDFGgoKCAdYJ4dUA+kM+I\nOsb35zPgfrQw9hlPijW78P0xi0dfdH6ldjdV4c8mHX4jI1iycQW5YRn1a9P6SIod'),
+    ("junk", '06:03:55 GET /skelldale/5931.gif 200 1172\n17:05:22 GET /washcroft/2291.gif 200 79631\n04:16:57 GET /oskford/5222.gif 304 27396\n20:49:38 GET /dunstead/4478.gif 404 56610'),
+    ("junk", '=-=-=-=-=-=-=-=-=-=-=-=-\n=-=-=-=-=-=-=-=-=-=-=-=-=-=-=-=-=-=-=-=-=-=-=-=-=-=-=-=-=-=-=-=-=-=-\n=-=-=-=-=-=-=-=-=-=-=-=-=-=-=-=-=-=-=-=-=-=-=-\n=-=-=-=-=-=-=-=-=-=-=-=-'),
+    ("junk", 'rMHD/PiCGYlHrvkI9W+hC/ANCO0Vm7G8iZSbgtlYYqXesmOGM4p6l+1SM1Zyj2rg\n5DTiutINhTBh3b4T1fZoi3ZJLzjpsDmWcdqngz1CGXa17hWKvxXySWjSQKc3vyFg\nk5zZL04xqc2AXfqYQga89AzMY9MGdA7ZZ3VINCW/up0197GujFKFZeUB6df77Xlt\nmDLgnzrE0Q5gyUPpa2zMf62XsP424s0hCURGiCcyqLtTtIx2ZnC9Icu4BaXhJbNN'),
+    ("junk", 'grey wolf timber tailed frog sugar pine free maps mountain hemlock cheap cabins umberfork cheap cabins free maps free maps crowburn timber skellholt timber free maps free maps free maps free maps red cedar cheap cabins grey wolf umberridge vole vellburn cheap cabins free maps spotted bat pineridge vole tarnfork wolverine timber cheap cabins timber free maps cheap cabins timber elk free maps'),
+    ("junk", 'free maps timber mountain hemlock cheap cabins free maps mussmere timber timber timber timber cheap cabins lorngate yelburn cheap cabins tarnridge free maps cheap cabins free maps cheap cabins timber timber cheap cabins cheap cabins free maps western larch free maps kelsdale skellholt cheap cabins yelwick cheap cabins cheap cabins cheap cabins free maps free maps cheap cabins yelwick cheap cabins'),
+    ("junk", 'timber kelsmere cheap cabins dunford cheap cabins free maps black-backed woodpecker alder tailed frog free maps whitebark pine timber free maps timber cheap cabins tailed frog cheap cabins lornfork timber free maps vellholt timber tarnmere cheap cabins pineley timber cheap cabins free maps free maps cheap cabins free maps free maps free maps cheap cabins cheap cabins sugar pine river trout grey'),
+    ("junk", 'lorum lorum lorum lorum lorum lorum lorum lorum lorum lorum lorum lorum lorum lorum lorum lorum lorum lorum lorum lorum lorum lorum lorum lorum lorum lorum lorum lorum lorum lorum lorum lorum lorum '),
 )
 
 
@@ -266,37 +307,47 @@ def holdout(stop: frozenset[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([x for x, _ in parts]), np.concatenate([np.full(len(x), k) for x, k in parts])
 
 
-def train(documents: DataFrame, stop: frozenset[str], text_col: str = "text", id_col: str = "doc_id", max_documents: int = 2_000, max_lines: int = 16_000) -> BoostedTrees:
+def train(documents: DataFrame, stop: frozenset[str], text_col: str = "text", id_col: str = "doc_id", max_documents: int = 2_000, max_lines: int = 16_000, least: int = 20) -> BoostedTrees | None:
     """Trees fitted to weakly labelled lines of a sample of some ``max_documents`` documents, chosen by hash of the id,
-    and at most ``max_lines`` of their lines; calibrated on :data:`HOLDOUT`.
+    and at most ``max_lines`` of their lines; calibrated on :data:`HOLDOUT`, whose lines are no training lines.
 
-    Lines are turned into features and labelled where they lie; only those of the sample come to the driver. Lines of
-    the hand-checked texts are no training lines. Where too few lines are labelled the hand-checked ones train.
+    Lines are turned into features and labelled where they lie; only those of the sample come to the driver. None where
+    a class has fewer than ``least`` labelled lines.
     """
     steps = 1 << 30
     reach = min(steps, -(-steps * max_documents // max(1, documents.count())))
+    held_out = frozenset(x for _, t in HOLDOUT for x in t.split("\n"))
 
     def labelled(keys, texts):
         for h, t in zip(keys, texts):
             x, lines = line_features(t, stop)
-            for n, (row, y) in enumerate(zip(x.tolist(), weak_labels(x, lines).tolist())):
-                if y >= 0:
+            for n, (row, y, line) in enumerate(zip(x.tolist(), weak_labels(x, lines).tolist(), lines)):
+                if y >= 0 and line not in held_out:
                     yield xxhash.xxh64_intdigest(f"{h}/{n}") >> 1, y, row
 
     rows = documents.where(f"length({text_col}) > 0").select(F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("sample")), F.lit(steps)).alias("h"), F.col(text_col).alias("t"))
     sample = map_columns(rows.where(F.col("h") < reach), labelled, "o bigint, y int, x array<double>")
     got = sample.orderBy("o", "y").limit(max_lines).toPandas()
-    hx, hy = holdout(stop)
-    x, y = (np.array(got.x.tolist()).reshape(len(got), len(FEATURES)), got.y.to_numpy().astype(int)) if len(got) else (hx[:0], hy[:0])
-    if len(x) < 400 or len(np.unique(y)) < len(KINDS):
-        x, y = np.concatenate([x, *[hx] * 20]), np.concatenate([y, *[hy] * 20])
-    n = np.bincount(y, minlength=len(KINDS))
-    weight = (len(y) / (len(KINDS) * np.maximum(n, 1)))[y]
-    return BoostedTrees(len(KINDS)).fit(x, y, weight).calibrate(hx, hy)
+    n = np.bincount(got.y.to_numpy().astype(int), minlength=len(KINDS)) if len(got) else np.zeros(len(KINDS))
+    if n.min() < least:
+        return None
+    x, y = np.array(got.x.tolist()).reshape(len(got), len(FEATURES)), got.y.to_numpy().astype(int)
+    weight = (len(y) / (len(KINDS) * n))[y]
+    return BoostedTrees(len(KINDS)).fit(x, y, weight).calibrate(*holdout(stop))
+
+
+def held_out_report(documents: DataFrame, words: DataFrame) -> DataFrame:
+    """``(kind, lines, right, mean_probability)`` of the trees on the lines checked by hand, by class: how many are told rightly, and
+    the mean calibrated probability of their class."""
+    stop = common_words(words)
+    model, (x, y) = train(documents, stop), holdout(stop)
+    p = model.probabilities(x) if model else np.zeros((len(x), len(KINDS)))
+    rows = [(k, int((y == n).sum()), int((p[y == n].argmax(1) == n).sum()) if model else 0, float(p[y == n, n].mean())) for n, k in enumerate(KINDS)]
+    return documents.sparkSession.createDataFrame(rows, "kind string, lines int, right int, mean_probability double")
 
 
 SCHEMA = (
-    "doc_id bigint, kind string, prose_share double, list_share double, table_share double, junk_share double, words bigint, mean_word_length double, symbol_ratio double, "
+    "doc_id bigint, kind string, probability double, prose_share double, list_share double, table_share double, junk_share double, words bigint, mean_word_length double, symbol_ratio double, "
     "digit_ratio double, upper_ratio double, lines bigint, ending_punctuation double, common_words double, distinct_words double, item_lines double, repeated_lines double"
 )
 
@@ -305,9 +356,11 @@ def quality(documents: DataFrame, words: DataFrame, id_col: str = "doc_id", text
     """A row of statistics for each document with an id, whatever its text.
 
     ``kind`` is ``prose`` unless more than half of the characters other than white space are found to be something
-    else, then the kind that most of these belong to. NULL and blank texts have kind ``empty`` and zeros.
+    else, then the kind that most of these belong to; ``probability`` is the mean calibrated probability of that kind over
+    the characters. NULL and blank texts have kind ``empty`` and zeros. Where a corpus is too small to train on kinds are ``unknown``,
+    with zeros for shares and probability.
     """
-    stop = frozenset(r["word"] for r in words.where("word IS NOT NULL").select("word").distinct().limit(10_000).collect())
+    stop = common_words(words)
     if model is None:
         model = train(documents, stop, text_col, id_col)
 
@@ -316,12 +369,15 @@ def quality(documents: DataFrame, words: DataFrame, id_col: str = "doc_id", text
             some = ids[lo : lo + 500]
             x, weight, doc, _, stats = batch_features([t or "" for t in texts[lo : lo + 500]], stop)
             n = len(some)
-            best = model.scores(x).argmax(1) if len(x) else np.zeros(0, int)
-            share = np.bincount(doc * len(KINDS) + best, weight, n * len(KINDS)).reshape(n, len(KINDS))
-            total = share.sum(1, keepdims=True)
-            share = share / np.maximum(total, 1e-9)
-            kind = np.where(total[:, 0] == 0, "empty", np.where(share[:, 0] >= 0.5, KINDS[0], np.array(KINDS[1:])[share[:, 1:].argmax(1)]))
-            yield from zip(some, kind.tolist(), *share.T.tolist(), *(v.tolist() for v in stats.values()))
+            p = model.probabilities(x) if model and len(x) else np.zeros((len(x), len(KINDS)))
+            best = p.argmax(1)
+            share = np.bincount(doc * len(KINDS) + best, weight * (p.max(1) > 0), n * len(KINDS)).reshape(n, len(KINDS)) if len(x) else np.zeros((n, len(KINDS)))
+            mean = np.stack([_sum(doc, weight * p[:, k], n) for k in range(len(KINDS))], 1)
+            total = _sum(doc, weight, n)[:, None]
+            share, mean = share / np.maximum(total, 1e-9), mean / np.maximum(total, 1e-9)
+            which = np.where(share[:, 0] >= 0.5, 0, 1 + share[:, 1:].argmax(1))
+            kind = np.where(total[:, 0] == 0, "empty", np.array(KINDS)[which] if model else "unknown")
+            yield from zip(some, kind.tolist(), mean[np.arange(n), which].tolist(), *share.T.tolist(), *(v.tolist() for v in stats.values()))
 
     rows = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL")
     return map_columns(rows, run, SCHEMA)

@@ -6,14 +6,14 @@ import numpy as np
 
 
 class BoostedTrees:
-    """Histogram trees boosted on the softmax loss, with one temperature for calibrated probabilities.
+    """Histogram trees boosted on the softmax loss, with a temperature and a bias for each class for calibrated probabilities.
 
     The fit is deterministic. ``thresholds`` cut each feature into at most ``bins`` bins by quantiles.
     """
 
     def __init__(self, classes: int, rounds: int = 14, depth: int = 4, rate: float = 0.4, bins: int = 32, min_leaf: int = 20, l2: float = 1.0):
         self.classes, self.rounds, self.depth, self.rate, self.bins, self.min_leaf, self.l2 = classes, rounds, depth, rate, bins, min_leaf, l2
-        self.temperature = 1.0
+        self.temperature, self.bias = 1.0, np.zeros(classes)
         self.trees: list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = []
 
     def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> BoostedTrees:
@@ -87,12 +87,23 @@ class BoostedTrees:
         return out
 
     def probabilities(self, x: np.ndarray) -> np.ndarray:
-        return self._soft(self.scores(x) / self.temperature)
+        return self._soft(self.scores(x) / self.temperature + self.bias)
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray) -> BoostedTrees:
-        """Choose the temperature under which the held-out rows are likeliest."""
-        s = self.scores(x)
-        loss = lambda t: -np.log(np.maximum(self._soft(s / t)[np.arange(len(y)), y], 1e-12)).mean()
-        grid = np.exp(np.linspace(np.log(0.25), np.log(4.0), 49))
-        self.temperature = float(min(grid, key=loss))
+    def calibrate(self, x: np.ndarray, y: np.ndarray, l2: float = 0.1, steps: int = 200) -> BoostedTrees:
+        """Choose the temperature and the bias of each class under which the held-out rows are likeliest, classes weighing the same.
+
+        Biases are held small by ``l2``; they shift the border between classes, so that probabilities decide otherwise than scores.
+        """
+        s, n = self.scores(x), np.bincount(y, minlength=self.classes)
+        w = 1 / (np.maximum(n, 1)[y] * (n > 0).sum())
+        onehot = np.eye(self.classes)[y]
+        best = (np.inf, 1.0, np.zeros(self.classes))
+        for t in np.exp(np.linspace(np.log(0.25), np.log(8.0), 57)):
+            bias = np.zeros(self.classes)
+            for _ in range(steps):
+                bias -= 1.0 * (((self._soft(s / t + bias) - onehot) * w[:, None]).sum(0) + l2 * bias)
+            loss = -(w * np.log(np.maximum(self._soft(s / t + bias)[np.arange(len(y)), y], 1e-12))).sum() + l2 / 2 * (bias**2).sum()
+            if loss < best[0]:
+                best = (loss, float(t), bias - bias.mean())
+        _, self.temperature, self.bias = best
         return self
