@@ -18,7 +18,8 @@ from holdfast.operators import inventory as I
 from holdfast.operators import ledger as L
 from holdfast.operators import records as R
 from holdfast.operators import sampling as P
-from holdfast.sources import paged
+from holdfast.plans import reports
+from holdfast.sources import files, paged
 from holdfast.storage import shared_dir, table, written
 from holdfast.streaming import ledger as SL
 
@@ -97,6 +98,27 @@ def _events(s: SparkSession, d: str) -> DataFrame:
     return out
 
 
+def _read_back(s: SparkSession, d: str) -> DataFrame:
+    """Derived records written as JSON lines and read again."""
+    path = f"{shared_dir(s)}/holdfast/records-{uuid.uuid4().hex}"
+    files.write_records(R.derived(R.unique_records(table(s, d, "document_records"))), path)
+    return files.read_records(s, path).select("id", "title", "source_site", "content_type", "text_sha256", "body_text", F.col("extraction.char_count").alias("char_count"), F.size("topics").alias("topics"))
+
+
+def _listed_by_stream(s: SparkSession, d: str) -> DataFrame:
+    """The listing as JSON files drained by a stream, and counted."""
+    base = f"{shared_dir(s)}/holdfast/listing-{uuid.uuid4().hex}"
+    _objects(s, d).select("bucket", "key", "size", "modified", "etag", "class").write.json(f"{base}/in")
+    SL.listing_stream(s, f"{base}/in", f"{base}/out", f"{base}/checkpoint", 100).awaitTermination()
+    return s.read.parquet(f"{base}/out").groupBy("bucket").agg(F.count("*").alias("objects"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
+
+
+def _info(s: SparkSession, d: str) -> DataFrame:
+    """Fields of what an information tool might print of a bucket."""
+    said = F.concat(F.lit("Title:   "), F.coalesce("notes", F.lit("")), F.lit("\nPages:  "), F.coalesce("approx_objects", F.lit(0)), F.lit("\nPage size: x\n"))
+    return table(s, d, "bucket_registry").select("name", S.info_field(said, "Pages").alias("pages"), S.info_field(said, "Producer").alias("producer"))
+
+
 def _top(dim: str, k: int) -> Callable[[SparkSession, str], DataFrame]:
     return lambda s, d: I.top_k(I.value_counts(_objects(s, d), dim), k, [F.desc("objects"), F.col(dim)])
 
@@ -155,6 +177,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "ledger_state": _ledger,
         "stream_ledger": _streamed,
         "html_text": lambda s, d: R.unique_records(table(s, d, "document_records")).select("id", H.html_to_text(F.col("body_text")).alias("text")),
+        "records_read_back": _read_back,
+        "stream_listing": _listed_by_stream,
+        "info_fields": _info,
+        "spaceless_lengths": lambda s, d: table(s, d, "documents").select("doc_id", S.spaceless_length(F.col("text")).alias("chars")),
+        "year_chart": lambda s, d: reports.year_chart(_objects(s, d)),
+        "type_shares": lambda s, d: reports.type_shares(_objects(s, d)),
+        "ledger_lookup": lambda s, d: L.lookup(_ledger(s, d), _objects(s, d).where("key LIKE '%.pdf'").select(F.col("key").alias("s3_key"))).select("s3_key", "status", "attempts"),
         "ledger_counts": lambda s, d: L.status_counts(_ledger(s, d)),
         "ledger_failures": lambda s, d: L.failures(_ledger(s, d)),
         "ledger_seen_text": lambda s, d: L.seen_texts(_ledger(s, d)),
@@ -373,6 +402,13 @@ def oracle_sql() -> dict[str, str]:
         "ledger_state": f"WITH {_LEDGER} SELECT * FROM l",
         "stream_ledger": f"WITH {_LEDGER} SELECT * FROM l",
         "html_text": f"WITH {_RECORDS} SELECT id, {_html('body_text')} AS text FROM r",
+        "records_read_back": f"WITH {_RECORDS} SELECT id, title, source_site, content_type, coalesce(nullif(text_sha256, ''), {_hash("coalesce(body_text, '')")}) AS text_sha256, coalesce(body_text, '') AS body_text, coalesce(extraction.char_count, length(coalesce(body_text, ''))) AS char_count, CAST(len(coalesce(topics, [])) AS INTEGER) AS topics FROM r",
+        "stream_listing": f"WITH {_OBJECTS} SELECT bucket, count(*) AS objects, CAST(sum(size) AS BIGINT) AS bytes FROM d GROUP BY bucket",
+        "info_fields": "SELECT name, CAST(coalesce(approx_objects, 0) AS VARCHAR) AS pages, CAST(NULL AS VARCHAR) AS producer FROM bucket_registry",
+        "spaceless_lengths": f"SELECT doc_id, length(regexp_replace(text, '{_SPACE}+', '', 'g')) AS chars FROM documents",
+        "year_chart": f"WITH {_OBJECTS}, per AS (SELECT year, count(*) AS objects FROM d WHERE year IS NOT NULL GROUP BY year) SELECT year, objects, repeat('#', greatest(1, objects * 60 // (SELECT max(objects) FROM per))) AS bar FROM per",
+        "type_shares": f"WITH {_OBJECTS} SELECT ctype, count(*) AS objects, round(count(*) / (SELECT count(*) FROM d)::DOUBLE, 6) AS share FROM d GROUP BY ctype",
+        "ledger_lookup": f"WITH {_OBJECTS}, {_LEDGER} SELECT s3_key, status, attempts FROM l WHERE s3_key IN (SELECT key FROM o WHERE key LIKE '%.pdf')",
         "ledger_counts": f"WITH {_LEDGER} SELECT status, count(*) AS keys FROM l GROUP BY status",
         "ledger_failures": f"WITH {_LEDGER} SELECT s3_key, attempts, error FROM l WHERE status = 'failed' ORDER BY attempts DESC, CAST(updated_at AS TIMESTAMPTZ) DESC, s3_key LIMIT 100",
         "ledger_seen_text": f"WITH {_LEDGER} SELECT text_sha256, arg_min(record_id, (CAST(updated_at AS TIMESTAMPTZ), s3_key)) AS record_id, count(*) AS keys FROM l WHERE status = 'done' AND text_sha256 IS NOT NULL GROUP BY 1",
