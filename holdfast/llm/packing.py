@@ -10,12 +10,11 @@ others' leavings.
 from __future__ import annotations
 
 from bisect import bisect_left, insort
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from holdfast.llm.batches import map_columns
 from holdfast.llm.tokens import VOCABULARY, sized
 from holdfast.storage import written
 
@@ -57,11 +56,6 @@ def best_fit(items: Iterable[tuple[int, str, int, int]], capacity: int, separate
     return bins
 
 
-def _pieces(tokens: int, capacity: int) -> Iterator[tuple[int, int]]:
-    for a in range(0, tokens, capacity):
-        yield a, min(tokens, a + capacity)
-
-
 def _pack(rows: list[tuple[int, str, str, int, int]], capacity: int, separate_sources: bool) -> list[list[tuple[int, str, str, int, int]]]:
     """Bins of ``(doc_id, source, text_key, start, end)``. Only what recurs needs a bit."""
     seen: dict[str, int] = {}
@@ -80,25 +74,53 @@ def _pack(rows: list[tuple[int, str, str, int, int]], capacity: int, separate_so
     return [[rows[n] for n in b] for b in best_fit(items, capacity, separate_sources)]
 
 
-def pack(documents: DataFrame, capacity: int, separate_sources: bool = False, vocabulary: str = VOCABULARY, shard_tokens: int = 4_000_000, well_filled: float = 0.97) -> DataFrame:
+def sizes(documents: DataFrame, vocabulary: str = VOCABULARY, clusters: DataFrame | None = None) -> DataFrame:
+    """``(doc_id, source, text_key, tokens)`` of documents with an id and tokens, a written table for :func:`pack`.
+
+    ``text_key`` names a document's duplicate cluster: that of its exact copies, or that of ``clusters``, ``(doc_id, cluster)``
+    with one row for each id, where it has one there.
+    """
+    base = sized(documents, vocabulary)
+    if clusters is not None:
+        named = clusters.select("doc_id", F.col("cluster").cast("string").alias("cluster")).where("doc_id IS NOT NULL")
+        base = base.join(named, "doc_id", "left").select("doc_id", "source", F.coalesce(F.concat(F.lit("c"), "cluster"), "text_key").alias("text_key"), "tokens")
+    return written(base, "tokens")
+
+
+def pack(documents: DataFrame, capacity: int, separate_sources: bool = False, vocabulary: str = VOCABULARY, shard_tokens: int = 4_000_000, well_filled: float = 0.97, clusters: DataFrame | None = None) -> DataFrame:
     """``(container_id, doc_id, token_start, token_end, tokens)``: every token of every document in one container.
 
-    Documents over the capacity are split into full containers and a rest; no others are. A container holds no text
-    twice. Documents without an id or without tokens are left out. Bins filled below ``well_filled`` are taken
-    apart and packed once more, a sixteenth as many shards sharing them.
+    Documents over the capacity are split into full containers and a rest; no others are. A container holds no two documents of a
+    duplicate cluster, see :func:`sizes`. Documents without an id or without tokens are left out. Bins filled below
+    ``well_filled`` are taken apart and packed once more, a sixteenth as many shards sharing them.
     """
+    return pack_sized(sizes(documents, vocabulary, clusters), capacity, separate_sources, shard_tokens, well_filled)
+
+
+def pack_profiles(documents: DataFrame, profiles: DataFrame, most: int = 1000, **options) -> DataFrame:
+    """:func:`pack` for each row of ``(profile, capacity_tokens)``, with ``profile`` as first column; texts are sized once.
+
+    The profiles are a given small table; more than ``most`` raise. Profiles without a positive capacity are left out.
+    """
+    rows = profiles.where("capacity_tokens > 0").select("profile", "capacity_tokens").distinct().orderBy("capacity_tokens", "profile").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} profiles")
+    base = sizes(documents, options.pop("vocabulary", VOCABULARY), options.pop("clusters", None))
+    out = base.where("false").select(F.lit("").alias("profile"), F.lit("").alias("container_id"), "doc_id", F.col("tokens").alias("token_start"), F.col("tokens").alias("token_end"), "tokens")
+    for r in rows:
+        out = out.union(pack_sized(base, r["capacity_tokens"], **options).select(F.lit(r["profile"]).alias("profile"), "*"))
+    return out
+
+
+def pack_sized(base: DataFrame, capacity: int, separate_sources: bool = False, shard_tokens: int = 4_000_000, well_filled: float = 0.97) -> DataFrame:
+    """:func:`pack` of a written table of :func:`sizes`."""
     if capacity < 1:
         raise ValueError("a container holds at least one token")
-    base = written(sized(documents, vocabulary), "tokens")
     total = base.agg(F.sum("tokens")).first()[0] or 0
     shards = max(1, -(-total // shard_tokens))
-
-    def cut(ids, sources, keys, tokens):
-        for i, s, k, n in zip(ids, sources, keys, tokens):
-            for a, e in _pieces(n, capacity):
-                yield i, s, k, a, e
-
-    pieces = map_columns(base.select("doc_id", "source", "text_key", "tokens"), cut, "doc_id bigint, source string, text_key string, a bigint, e bigint")
+    size = F.lit(capacity).cast("bigint")
+    starts = F.sequence(F.lit(0).cast("bigint"), F.col("tokens") - 1, size)
+    pieces = base.select("doc_id", "source", "text_key", "tokens", F.explode(starts).alias("a")).select("doc_id", "source", "text_key", "a", F.least("tokens", F.col("a") + size).alias("e"))
     whole = pieces.where(F.col("e") - F.col("a") == capacity).select(F.concat_ws("-", F.lit("w"), "doc_id", "a").alias("container_id"), "doc_id", F.col("a").alias("token_start"), F.col("e").alias("token_end"), (F.col("e") - F.col("a")).alias("tokens"))
     rest = pieces.where(F.col("e") - F.col("a") < capacity)
     first = written(_packed(rest, shards, capacity, separate_sources, "a"), "bins")
@@ -135,3 +157,12 @@ def fill_report(packed: DataFrame, capacity: int) -> DataFrame:
     """One row ``(containers, pieces, tokens, unused_share)``; no row's worth of containers gives a share of 0."""
     c = containers(packed, capacity)
     return c.agg(F.count("*").alias("containers"), F.coalesce(F.sum("pieces"), F.lit(0)).alias("pieces"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.round(F.coalesce(F.sum("unused") / (F.count("*") * F.lit(capacity)), F.lit(0.0)), 6).alias("unused_share"))
+
+
+def fill_by_profile(packed: DataFrame, profiles: DataFrame) -> DataFrame:
+    """``(profile, containers, pieces, tokens, unused_share)`` of :func:`pack_profiles`, a row for each profile with a capacity."""
+    capacity = profiles.where("capacity_tokens > 0").select("profile", "capacity_tokens").distinct()
+    c = packed.groupBy("profile", "container_id").agg(F.count("*").alias("n"), F.sum("tokens").alias("t")).groupBy("profile").agg(F.count("*").alias("containers"), F.sum("n").alias("pieces"), F.sum("t").alias("tokens"))
+    j = F.broadcast(capacity).join(c, "profile", "left").na.fill(0, ["containers", "pieces", "tokens"])  # a given small table
+    unused = F.lit(1.0) - F.coalesce(F.try_divide(F.col("tokens"), F.col("containers") * F.col("capacity_tokens")), F.lit(1.0))
+    return j.select("profile", "containers", "pieces", "tokens", F.round(unused, 6).alias("unused_share"))

@@ -56,6 +56,26 @@ def test_packing_is_whole_and_tight(spark, shard):
     assert all(n == 1 for d, n in Counter(r["doc_id"] for r in got).items() if sizes[d] <= cap)
 
 
+def test_profiles_and_clusters(spark):
+    df = documents(spark, 120)
+    profiles = spark.createDataFrame([("small", 128), ("big", 1024), ("none", 0), (None, None)], "profile string, capacity_tokens int")
+    got = P.pack_profiles(df, profiles)
+    sizes = {r["doc_id"]: r["tokens"] for r in T.sized(df).collect()}
+    for name, cap in (("small", 128), ("big", 1024)):
+        assert rows(got.where(f"profile = '{name}'").drop("profile")) == rows(P.pack(df, cap))
+        assert sum(r["tokens"] for r in got.where(f"profile = '{name}'").collect()) == sum(sizes.values())
+    report = {r["profile"]: r for r in P.fill_by_profile(got, profiles).collect()}
+    assert set(report) == {"small", "big"} and all(r["tokens"] == sum(sizes.values()) and 0 <= r["unused_share"] < 0.2 for r in report.values())
+    none = P.fill_by_profile(P.pack_profiles(df.where("false"), profiles), profiles)
+    assert rows(none) == [("big", 0, 0, 0, 0.0), ("small", 0, 0, 0, 0.0)]
+    # near-duplicates named by the caller never meet
+    one = spark.createDataFrame([(i, 7) for i in range(10)], "doc_id bigint, cluster int")
+    at = {}
+    for r in P.pack(df, 4096, clusters=one).where("doc_id < 10").collect():
+        at.setdefault(r["container_id"], []).append(r["doc_id"])
+    assert sorted(len(x) for x in at.values()) == [1] * 10
+
+
 def test_packing_empty(spark):
     assert rows(P.fill_report(P.pack(documents(spark).where("false"), 100), 100)) == [(0, 0, 0, 0.0)]
     with pytest.raises(ValueError):
