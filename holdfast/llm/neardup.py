@@ -31,6 +31,11 @@ _MUL = np.uint64(0x9E3779B97F4A7C15)
 BOTTOM = 64
 
 
+#: Passages: a salt, their mean length in k-mers, the least length that counts, and one in how many is kept, chosen by content. Long
+#: ones find moved paragraphs, short ones moved sentences.
+PASSAGES = ((0, 32, 6, 1), (7, 12, 4, 3))
+
+
 class _WordHash(dict):
     """32-bit hashes of words, forgotten when there are too many."""
 
@@ -90,7 +95,7 @@ def order_min_hash(h: np.ndarray, most: int = 64, least: int = 4) -> np.ndarray:
     A permutation's top bits cut the k-mers into ranges, by powers of two up to ``most``: as many as leave
     4 to 16 in each, at each of these cuts. Of two texts at least half alike neither has more than twice the
     other's k-mers, so they share a cut. Texts with few ranges take more permutations. Beside them go sketches of
-    passages that begin at k-mers chosen by their hash, some 32 k-mers long, each with the least k-mer of the whole text: passages that were moved keep theirs.
+    passages that begin at k-mers chosen by their hash, see :data:`PASSAGES`, each with a least k-mer of the whole text: passages that were moved keep theirs.
     """
     n = len(h)
     if n <= least:
@@ -105,16 +110,16 @@ def order_min_hash(h: np.ndarray, most: int = 64, least: int = 4) -> np.ndarray:
                 part = (v[order] >> np.uint64(32)) * np.uint64(r) >> np.uint64(32)
                 out.append(_minima(v, order, part, least, part + np.uint64(r << 20)) + np.uint64(turn))
             r //= 2
-    for turn in range(1 if n >= 128 else 0):
-        v = _mix(h + np.uint64(0x3C6EF372FE94F82B + turn))
-        passage = np.cumsum((v & np.uint64(31)) == 0)
+    # with the text's least k-mer under permutations of their own, else sentences that many texts share would meet
+    whole = [_mix(h + np.uint64(0xA54FF53A5F1D36F1 + j)).min() for j in range(2)]
+    for salt, mean, short, one_in in PASSAGES if n >= 128 else ():
+        v = _mix(h + np.uint64(0x3C6EF372FE94F82B + salt))
+        passage = np.cumsum(v % np.uint64(mean) == 0)
         v = _mix(v)
         order = np.lexsort((v, passage))
-        found = _minima(v, order, passage[order], least + 2, 0x51ED27 + turn)
-        for j in range(2):
-            # with the text's least k-mer under a permutation of its own, else sentences that many texts share would meet
-            whole = _mix(h + np.uint64(0xA54FF53A5F1D36F1 + 2 * turn + j)).min()
-            out.append(_mix(found * _MUL + whole))
+        found = _minima(v, order, passage[order], short, 0x51ED27 + salt)
+        found = found[found % np.uint64(one_in) == 0]
+        out += [_mix(found * _MUL + w) for w in whole]
     return np.concatenate(out)
 
 
@@ -283,6 +288,11 @@ class NearDuplicates:
         m = self.members.join(named, F.col("representative") == F.col("node"), "left")
         return m.select(F.col("id").alias("record_id"), F.coalesce("component", "representative").alias("group_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
 
+    def aligned(self, least: float = 0.5) -> DataFrame:
+        """``(id_a, id_b, similarity, edit_similarity)`` between representatives whose k-mers also align: the longest chain of common
+        k-mers in the order of both, within a band of the diagonal, is at least ``least`` of the longer text's. Reordered texts aren't among them."""
+        return self.pairs.where(F.col("edit_similarity") >= least).select("id_a", "id_b", F.round("similarity", 6).alias("similarity"), F.round("edit_similarity", 6).alias("edit_similarity"))
+
     def all_pairs(self, max_copies: int = 64) -> DataFrame:
         """``(id_a, id_b)``, id_a < id_b, between records of at least ``min_words`` words. Of a text with more than ``max_copies`` copies the
         representative stands for all in pairs with other texts, and each copy is paired with it."""

@@ -383,6 +383,19 @@ def quality(documents: DataFrame, words: DataFrame, id_col: str = "doc_id", text
     return map_columns(rows, run, SCHEMA)
 
 
+def statistics(documents: DataFrame, words: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The statistics of :func:`quality` alone, without a model."""
+    stop = common_words(words)
+
+    def run(ids, texts):
+        for lo in range(0, len(ids), 500):
+            stats = batch_features([t or "" for t in texts[lo : lo + 500]], stop)[4]
+            yield from zip(ids[lo : lo + 500], *(v.tolist() for v in stats.values()))
+
+    rows = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL")
+    return map_columns(rows, run, "doc_id bigint, " + SCHEMA.split("junk_share double, ")[1])
+
+
 def not_prose(documents: DataFrame, words: DataFrame) -> DataFrame:
     """Distinct ``(doc_id, kind)`` of documents mostly made up of a list, a table or junk."""
     return quality(documents, words).where(F.col("kind").isin(*KINDS[1:])).select("doc_id", "kind").distinct()

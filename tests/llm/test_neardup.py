@@ -109,3 +109,24 @@ def test_order_matters_to_sketches():
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert rows(D.near_duplicate_pairs(df)) == [] and rows(D.NearDuplicates(df).groups()) == []
+
+
+def test_moved_sentences_are_found(spark):
+    r = random.Random(5)
+    data = []
+    for n in range(30):
+        body = [" ".join(f"w{r.randrange(3000)}" for _ in range(22)) for _ in range(17)]
+        data.append((f"m{n:02d}a", ". ".join(body), "2020", 1))
+        r.shuffle(body)
+        data.append((f"m{n:02d}b", ". ".join(body), "2020", 1))
+    want = brute(data, 3, 0.5, 50)
+    got = D.NearDuplicates(spark.createDataFrame(data, SCHEMA), k=3, threshold=0.5, min_words=50)
+    assert len(want) == 30 and len(set(rows(got.all_pairs())) & set(want)) >= 27
+    assert len(rows(got.aligned(0.9))) == 0
+
+
+def test_joins_by_exchange_give_the_same(spark):
+    data = make(4, 60) + [(f"c{i}", "one text that stands often " * 12, "2020", 1) for i in range(70)]
+    df = spark.createDataFrame(data, SCHEMA)
+    a, b = D.NearDuplicates(df, large=3), D.NearDuplicates(df, large=3, max_broadcast_rows=0)
+    assert rows(a.groups()) == rows(b.groups()) and rows(a.all_pairs()) == rows(b.all_pairs()) and rows(a.members) == rows(b.members)
