@@ -25,6 +25,7 @@ from holdfast.operators.rows import join_counted, one_per_key
 from holdfast.storage import small_enough, written
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
+_ZERO = np.zeros(1, np.int64)
 
 
 #: Least k-mer hashes kept of a text, for a first estimate of a pair's similarity.
@@ -33,7 +34,7 @@ BOTTOM = 64
 
 #: Passages: a salt, their mean length in k-mers, the least length that counts, and one in how many is kept, chosen by content. Long
 #: ones find moved paragraphs, short ones moved sentences.
-PASSAGES = ((0, 32, 6, 2), (7, 12, 5, 4))
+PASSAGES = ((0, 32, 6, 2), (7, 12, 5, 3))
 
 
 class _WordHash(dict):
@@ -63,11 +64,12 @@ def kmers(words: np.ndarray, k: int) -> np.ndarray:
 
 def occurrence_labelled(h: np.ndarray) -> np.ndarray:
     """k-mer hashes with the number of the occurrence mixed in: repeats of a k-mer differ."""
+    s = np.sort(h)
+    if not (s[1:] == s[:-1]).any():
+        return h
     order = np.argsort(h, kind="stable")
     s = h[order]
-    first = np.r_[True, s[1:] != s[:-1]] if len(s) else np.zeros(0, bool)
-    if first.all():
-        return h
+    first = np.concatenate((_ZERO == 0, s[1:] != s[:-1]))
     start = np.maximum.accumulate(np.where(first, np.arange(len(s)), 0))
     out = h.copy()
     out[order] = _mix(s + (np.arange(len(s)) - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
@@ -79,13 +81,16 @@ def _minima(v: np.ndarray, order: np.ndarray, part: np.ndarray, least: int, salt
 
     ``order`` sorts by part and hash, ``part`` is in that order; ``salt`` is mixed in, by part where it is an array.
     """
-    starts = np.r_[0, np.flatnonzero(part[1:] != part[:-1]) + 1]
-    starts = starts[np.diff(np.r_[starts, len(part)]) >= least]
+    starts = np.concatenate((_ZERO, np.flatnonzero(part[1:] != part[:-1]) + 1))
+    ends = np.append(starts[1:], len(part))
+    starts = starts[ends - starts >= least]
     idx = order[starts[:, None] + np.arange(least)]
     idx.sort(axis=1)
+    rows = v[idx]
     sketch = np.zeros(len(starts), np.uint64) + (salt[starts] if isinstance(salt, np.ndarray) else np.uint64(salt))
-    for j in range(least):
-        sketch = _mix(sketch * _MUL + v[idx[:, j]])
+    for j in range(least):  # sensitive to the order: an odd multiplier's powers
+        sketch = sketch * _MUL + rows[:, j]
+    sketch = _mix(sketch)
     return sketch
 
 
@@ -140,9 +145,10 @@ def sketches(texts: DataFrame, k: int, min_words: int, most: int = 64, least: in
             if len(w) < max(min_words, k):
                 yield i, name, node, [], b"", False
                 continue
-            words = np.fromiter((known[x] for x in w), np.uint64, len(w))
-            sketch = np.unique(order_min_hash(occurrence_labelled(kmers(words, k)), most, least)).view(np.int64)
-            least_of_all = np.unique(_mix(np.unique(kmers(words, k))) >> np.uint64(32))[:BOTTOM].astype(np.uint32)
+            words = np.array(list(map(known.__getitem__, w)), np.uint64)
+            runs = kmers(words, k)
+            sketch = np.unique(order_min_hash(occurrence_labelled(runs), most, least)).view(np.int64)
+            least_of_all = np.unique(_mix(runs) >> np.uint64(32))[:BOTTOM].astype(np.uint32)
             yield i, name, node, sketch.tolist(), least_of_all.tobytes(), True
 
     return map_columns(texts, run, "id string, text_class string, node bigint, sketch array<bigint>, bottom binary, compared boolean")
@@ -332,7 +338,7 @@ def _word_hashes(texts: DataFrame) -> DataFrame:
         known = _WordHash()
         for i, t in zip(ids, bodies):
             w = t.lower().split()
-            yield i, np.fromiter((known[x] for x in w), np.uint32, len(w)).tobytes()
+            yield i, np.array(list(map(known.__getitem__, w)), np.uint32).tobytes()
 
     return map_columns(texts, run, "id string, words binary")
 
