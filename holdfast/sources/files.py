@@ -108,6 +108,13 @@ def append_listing(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").option("compression", "gzip").json(path)
 
 
-def write_manifest(document: dict, path: str) -> None:
-    """A small document as JSON: ordered keys, two spaces, a line end at the end."""
-    Path(path).write_text(json.dumps(document, indent=2, sort_keys=True, ensure_ascii=False) + "\n", encoding="utf-8")
+def write_manifest(document: dict, path: str, spark: SparkSession | None = None) -> None:
+    """A small document as JSON: ordered keys, two spaces, a line end at the end. A path with a scheme is written by the session's file systems."""
+    text = json.dumps(document, indent=2, sort_keys=True, ensure_ascii=False) + "\n"
+    if spark is None or "://" not in path:
+        Path(path).write_text(text, encoding="utf-8")
+        return
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+    out.write(bytearray(text.encode()))
+    out.close()

@@ -94,6 +94,8 @@ def test_config_files(spark, tmp_path):
     assert files.file_hashes(spark, str(r)).first()["byte_size"] == r.stat().st_size
     files.write_manifest({"b": 1, "a": "é"}, str(tmp_path / "m.json"))
     assert (tmp_path / "m.json").read_text() == '{\n  "a": "é",\n  "b": 1\n}\n'
+    files.write_manifest({"b": 1, "a": "é"}, f"file://{tmp_path}/n.json", spark)
+    assert (tmp_path / "n.json").read_text() == (tmp_path / "m.json").read_text()
 
 
 def test_paged_listing(spark, tmp_path):
